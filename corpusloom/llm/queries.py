@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, mixture, repeated_lines
+from corpusloom.llm import bpe, mixture, repeated_lines, shared_spans, splitting
 from corpusloom.runtime import table
 
 #: White space for a regular expression engine whose \s is ASCII only.
@@ -16,13 +16,33 @@ def _mix(spark, d):
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def both_texts(spark, d):
+    """The records of the two tables of page texts under one key."""
+    a = table(spark, d, "nexus_documents").select(F.lit("nexus_documents").alias("tab_name"), F.concat_ws("/", "shard_id", "document_id").alias("rec_key"), F.col("body").alias("text"))
+    return a.unionByName(table(spark, d, "documents_in").select(F.lit("documents_in").alias("tab_name"), F.col("input_id").cast("string").alias("rec_key"), "text"))
+
+
+KEY = ["tab_name", "rec_key"]
+
+def _coverage(spark, d):
+    """Of every document, how many of its characters stand in others too."""
+    docs = table(spark, d, "documents")
+    spans = shared_spans.shared_spans(docs).groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("shared_chars"), F.count("*").alias("stretches"))
+    return docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).join(spans, "doc_id", "left").na.fill(0, ["shared_chars", "stretches"])
+
+
 QUERIES = {
     "p1_found": lambda spark, d: repeated_lines.repeated_lines(table(spark, d, "nexus_documents"), ROW),
     "p1_clean": lambda spark, d: repeated_lines.without_repeated_lines(table(spark, d, "nexus_documents"), ROW),
+    "p3_found": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text").where(F.col("n_chars") > splitting.LIMIT).select(*KEY),
+    "p3_lengths": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text"),
+    "p3_pieces": lambda spark, d: splitting.split_pieces(both_texts(spark, d), KEY, "text"),
     "p6_ids": lambda spark, d: bpe.encode_corpus(table(spark, d, "documents")),
     "p7_found": lambda spark, d: _mix(spark, d).shares.where("unreachable").select("source"),
     "p7_shares": lambda spark, d: _mix(spark, d).shares,
     "p7_uses": lambda spark, d: _mix(spark, d).uses,
+    "p8_found": lambda spark, d: shared_spans.shared_spans(table(spark, d, "documents")),
+    "p8_coverage": _coverage,
 }
 
 _LINES = f"""n AS (SELECT shard_id, document_id, body,
@@ -33,7 +53,13 @@ _LINES = f"""n AS (SELECT shard_id, document_id, body,
   k AS (SELECT *, lower(regexp_replace(line, '[{WS}0-9]+', '', 'g')) AS id FROM l),
   f AS (SELECT site, id FROM k WHERE id <> '' AND site IS NOT NULL GROUP BY site, id HAVING count(DISTINCT (shard_id, document_id)) >= 8)"""
 
+_BOTH = """(SELECT 'nexus_documents' AS tab_name, shard_id || '/' || document_id AS rec_key, body AS text FROM nexus_documents
+    UNION ALL SELECT 'documents_in', input_id::VARCHAR, text FROM documents_in)"""
+_LENGTHS = f"SELECT tab_name, rec_key, coalesce(length(regexp_replace(regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g'), '[{WS}]+', ' ', 'g')), 0) AS n_chars FROM {_BOTH}"
+
 ORACLE = {
+    "p3_found": f"SELECT tab_name, rec_key FROM ({_LENGTHS}) WHERE n_chars > 1800",
+    "p3_lengths": _LENGTHS,
     "p1_found": f"WITH {_LINES} SELECT shard_id, document_id, line_no FROM k JOIN f USING (site, id)",
     "p1_clean": f"""WITH {_LINES}, m AS (SELECT k.*, f.id IS NULL AS keep FROM k LEFT JOIN f USING (site, id))
         SELECT shard_id, document_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE keep), '') AS body FROM m GROUP BY ALL""",
