@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, mixture, repeated_lines, shared_spans, splitting
+from corpusloom.llm import bpe, mixture, near_duplicates, repeated_lines, shared_spans, splitting
 from corpusloom.runtime import table
 
 #: White space for a regular expression engine whose \s is ASCII only.
@@ -24,6 +24,11 @@ def both_texts(spark, d):
 
 KEY = ["tab_name", "rec_key"]
 
+def _near(spark, d):
+    """Runs of three words, similarity 0.6, as this project states the problem."""
+    return near_duplicates.NearDuplicates(table(spark, d, "nexus_documents"), ROW, "body", k=3, threshold=0.6)
+
+
 def _coverage(spark, d):
     """Of every document, how many of its characters stand in others too."""
     docs = table(spark, d, "documents")
@@ -37,6 +42,8 @@ QUERIES = {
     "p3_found": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text").where(F.col("n_chars") > splitting.LIMIT).select(*KEY),
     "p3_lengths": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text"),
     "p3_pieces": lambda spark, d: splitting.split_pieces(both_texts(spark, d), KEY, "text"),
+    "p5_found": lambda spark, d: _near(spark, d).pairs("document_id"),
+    "p5_groups": lambda spark, d: _near(spark, d).groups("document_id"),
     "p6_ids": lambda spark, d: bpe.encode_corpus(table(spark, d, "documents")),
     "p7_found": lambda spark, d: _mix(spark, d).shares.where("unreachable").select("source"),
     "p7_shares": lambda spark, d: _mix(spark, d).shares,
