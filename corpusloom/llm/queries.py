@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, mixture, near_duplicates, repeated_lines, shared_spans, splitting
+from corpusloom.llm import boilerplate, bpe, mixture, near_duplicates, repeated_lines, shared_spans, splitting
 from corpusloom.runtime import table
 
 #: White space for a regular expression engine whose \s is ASCII only.
@@ -18,8 +18,8 @@ def _mix(spark, d):
 
 def both_texts(spark, d):
     """The records of the two tables of page texts under one key."""
-    a = table(spark, d, "nexus_documents").select(F.lit("nexus_documents").alias("tab_name"), F.concat_ws("/", "shard_id", "document_id").alias("rec_key"), F.col("body").alias("text"))
-    return a.unionByName(table(spark, d, "documents_in").select(F.lit("documents_in").alias("tab_name"), F.col("input_id").cast("string").alias("rec_key"), "text"))
+    a = table(spark, d, "nexus_documents").select(F.lit("nexus_documents").alias("tab_name"), F.concat_ws("/", "shard_id", "document_id").alias("rec_key"), F.col("body").alias("text"), repeated_lines.site_of(F.col("url"), F.col("source")).alias("site"))
+    return a.unionByName(table(spark, d, "documents_in").select(F.lit("documents_in").alias("tab_name"), F.col("input_id").cast("string").alias("rec_key"), "text", repeated_lines.site_of(F.col("url"), F.col("source")).alias("site")))
 
 
 KEY = ["tab_name", "rec_key"]
@@ -39,6 +39,8 @@ def _coverage(spark, d):
 QUERIES = {
     "p1_found": lambda spark, d: repeated_lines.repeated_lines(table(spark, d, "nexus_documents"), ROW),
     "p1_clean": lambda spark, d: repeated_lines.without_repeated_lines(table(spark, d, "nexus_documents"), ROW),
+    "p2_found": lambda spark, d: boilerplate.furniture_lines(both_texts(spark, d), KEY, "text", "site"),
+    "p2_content": lambda spark, d: boilerplate.main_content(both_texts(spark, d), KEY, "text", "site"),
     "p3_found": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text").where(F.col("n_chars") > splitting.LIMIT).select(*KEY),
     "p3_lengths": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text"),
     "p3_pieces": lambda spark, d: splitting.split_pieces(both_texts(spark, d), KEY, "text"),
