@@ -195,24 +195,30 @@ def verified(pairs: DataFrame, k: int, threshold: float, band: int) -> DataFrame
     """Exact similarity and alignment of pairs (sig_a, sig_b, text_a, text_b); those at the threshold stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-
-        def kmers(sig: int, text: str) -> np.ndarray:
-            if sig not in kept:
-                if len(kept) > 2000:
-                    kept.clear()
-                kept[sig] = _shingles([text], k)[0]
-            return kept[sig]
-
         for batch in batches:
+            sig = {c: batch.column(f"sig_{c}").to_pylist() for c in "ab"}
+            texts = {s: i for c in "ab" for i, s in enumerate(sig[c])}
+            where = {s: (c, i) for c in "ab" for i, s in enumerate(sig[c])}
+            cols, order = {c: batch.column(f"text_{c}") for c in "ab"}, list(texts)
+            raw = [cols[where[s][0]][where[s][1]].as_py() for s in order]
+            kmers, sets = {}, {}
+            for lo, hi in _chunks(raw):
+                g, doc = _shingles(raw[lo:hi], k)
+                _, first, gs, ds = _distinct(g, doc)
+                gs, ds = gs[first], ds[first]
+                n = np.arange(hi - lo + 1)
+                all_at, set_at = np.searchsorted(doc, n), np.searchsorted(ds, n)
+                for i, s in enumerate(order[lo:hi]):
+                    kmers[s], sets[s] = g[all_at[i] : all_at[i + 1]], gs[set_at[i] : set_at[i + 1]]
             out = ([], [], [], [])
-            for r in batch.to_pylist():
-                a, b = kmers(r["sig_a"], r["text_a"]), kmers(r["sig_b"], r["text_b"])
-                x, y = np.unique(a), np.unique(b)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for a, b in zip(sig["a"], sig["b"]):
+                x, y = sets[a], sets[b]
+                if not len(x) or not len(y):
+                    continue
+                both = int((y[np.minimum(y.searchsorted(x), len(y) - 1)] == x).sum())
                 j = both / (len(x) + len(y) - both)
                 if j >= threshold:
-                    for o, v in zip(out, (r["sig_a"], r["sig_b"], j, _aligned(a, b, band) / max(len(a), len(b)))):
+                    for o, v in zip(out, (a, b, j, _aligned(kmers[a], kmers[b], band) / max(len(kmers[a]), len(kmers[b])))):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], ["sig_a", "sig_b", "similarity", "alignment"])
 
@@ -242,7 +248,11 @@ class NearDuplicates:
         many = crowd.select("h", F.col("sig").alias("a")).join(crowd.select("h", F.col("sig").alias("b")), "h").where("a < b").select("a", "b")
         # Furniture that common() leaves in makes unrelated records agree in one sketch now and then, rarely in two.
         met = twos.unionByName(many).groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= agreeing)
-        pairs = materialise(met.select("a", "b"), "pairs")
+        # Sets whose sizes differ by more than the threshold can't be alike.
+        size = self.members.groupBy("sig").agg(F.min("n").alias("n"))
+        records = size.count()
+        sized = met.select("a", "b").join(small_side(size.toDF("a", "na"), records, 24), "a").join(small_side(size.toDF("b", "nb"), records, 24), "b")
+        pairs = materialise(sized.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), "pairs")
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
         wanted = self.members.join(ends, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(*keys)).alias("r")).select("sig", "r.*")
         texts = df.select(*keys, F.col(text).alias("text")).join(wanted, keys).select("sig", "text")
