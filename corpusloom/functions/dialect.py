@@ -87,6 +87,9 @@ class Spark:
     def collapse(self, t: str) -> str:
         return f"trim(regexp_replace({t}, r'{self.space}+', ' '))"
 
+    def strip(self, t: str) -> str:
+        return self.replace(t, f"^{self.space}+|{self.space}+$")
+
     def explode(self, a: str) -> str:
         return f"explode({a})"
 
@@ -96,9 +99,6 @@ class Spark:
     def sha(self, t: str) -> str:
         return f"sha2({t}, 256)"
 
-    def collect(self, e: str, order: str) -> str:
-        raise NotImplementedError
-
     def divide(self, a: str, b: str) -> str:
         return f"try_divide(cast({a} as double), cast({b} as double))"
 
@@ -111,8 +111,6 @@ class Spark:
             return f"(SELECT {columns}, {position}, {alias} FROM {table} LATERAL VIEW posexplode({array}) e AS {position}, {alias})"
         return f"(SELECT {columns}, {alias} FROM {table} LATERAL VIEW explode({array}) e AS {alias})"
 
-    regexp_meta = "java"
-
 
 class Duck(Spark):
     name = "duck"

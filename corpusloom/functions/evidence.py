@@ -92,21 +92,24 @@ def relevance(d: Spark, terms: str, defs: str, title: str, snip: str) -> str:
     return f"CASE WHEN {d.size(terms)} = 0 THEN 1e0 ELSE least(1e0, greatest(0e0, {base} + {bonus}, {floor})) END"
 
 
-def defines(d: Spark, defs: str, sentence: str) -> str:
-    """Whether a sentence defines the subject; true for queries that ask for no definition."""
-    got = share(d, matched(d, defs, bare_words(d, sentence)), defs)
+def defines(d: Spark, defs: str, bare: str, sentence: str) -> str:
+    """Whether a sentence (with its bare words) defines the subject; true for queries that ask for no definition."""
+    got = share(d, matched(d, defs, bare), defs)
     ids = d.filter(defs, "di", d.like("di", "[0-9-]"))
-    enough = f"CASE WHEN {d.size(ids)} > 0 THEN {d.size(d.minus(ids, bare_words(d, sentence)))} = 0 AND {got} >= 4e-1 ELSE {got} >= 6e-1 END"
+    enough = f"CASE WHEN {d.size(ids)} > 0 THEN {d.size(d.minus(ids, bare))} = 0 AND {got} >= 4e-1 ELSE {got} >= 6e-1 END"
     return f"({d.size(defs)} = 0 OR (({enough}) AND {d.like(f'lower({sentence})', DEFINES)}))"
 
 
-def support(d: Spark, terms: str, ids: str, defs: str, judgment: str, title: str, sentence: str) -> str:
-    """How far a sentence supports an answer, 0..1; its words keep the marks at their ends."""
-    w = words(d, sentence)
-    score = f"65e-2 * {share(d, matched(d, terms, w), terms)} + 2e-1 * {share(d, d.common(terms, words(d, title)), terms)} + 25e-2 * {share(d, d.common(ids, w), ids, '0e0')}"
-    score = f"CASE WHEN {d.size(defs)} > 0 AND {defines(d, defs, sentence)} THEN greatest({score}, 34e-2) ELSE {score} END"
+def support_base(d: Spark, terms: str, ids: str, title_words: str, w: str) -> str:
+    """Share of the query's terms in a sentence's words ``w`` (with their marks), in the title, and of its identifiers."""
+    return f"65e-2 * {share(d, matched(d, terms, w), terms)} + 2e-1 * {share(d, d.common(terms, title_words), terms)} + 25e-2 * {share(d, d.common(ids, w), ids, '0e0')}"
+
+
+def support(d: Spark, base: str, terms: str, defs: str, is_definition: str, judgment: str, w: str) -> str:
+    """How far a sentence supports an answer, 0..1: at least 0.34 for definitions, less for judgments without tradeoffs."""
+    score = f"(CASE WHEN {d.size(defs)} > 0 AND {is_definition} THEN greatest({base}, 34e-2) ELSE {base} END)"
     hits = d.size(d.common(w, d.words(TRADEOFF_TERMS)))
-    judged = f"CASE WHEN NOT {judgment} THEN ({score}) WHEN {hits} = 0 THEN 45e-2 * ({score}) ELSE ({score}) + least(2e-1, 5e-2 * {hits}) END"
+    judged = f"CASE WHEN NOT {judgment} THEN {score} WHEN {hits} = 0 THEN 45e-2 * {score} ELSE {score} + least(2e-1, 5e-2 * {hits}) END"
     return f"CASE WHEN {d.size(terms)} = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, {judged})) END"
 
 

@@ -90,7 +90,7 @@ def snippet(d: Spark, t: str, query: str) -> str:
     terms = d.filter(d.split(d.collapse(f"lower({query})"), " "), "st", "length(st) > 2")
     first = f"coalesce({d.least_of(d.filter(d.map(terms, 'st', f'''instr({low}, st)'''), 'sp', 'sp > 0'))}, 1)"
     start = f"greatest(0, {first} - 1 - {SNIPPET_LEAD})"
-    cut = f"trim(substring({t}, {start} + 1, {SNIPPET_CHARS}))"
+    cut = d.strip(f"substring({t}, {start} + 1, {SNIPPET_CHARS})")
     return f"concat(CASE WHEN {start} > 0 THEN '…' ELSE '' END, {cut}, CASE WHEN {start} + {SNIPPET_CHARS} < length({t}) THEN '…' ELSE '' END)"
 
 
