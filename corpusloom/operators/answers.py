@@ -105,9 +105,9 @@ def steps(d: Spark) -> dict[str, str]:
         CASE WHEN r.decision = 'abstain' THEN 'evidence-gate' ELSE 'extractive-grounded' END AS model FROM reasoned r LEFT JOIN extract x ON r.qid = x.qid"""
     # Where each candidate drops out; the check of definitions here knows the sentence alone.
     out["traced"] = f"""SELECT f.qid, f.doc_id, f.rank, round(f.relevance, 6) AS relevance, round(f.floor, 6) AS floor, round(f.topic_authority, 6) AS authority,
-        CASE WHEN f.relevance < {MIN_RELEVANCE}e0 THEN 'relevance_threshold' WHEN f.relevance < f.floor THEN 'relative_floor' WHEN NOT f.has_ids THEN 'identifier'
-        WHEN NOT EXISTS (SELECT 1 FROM supporting s WHERE s.qid = f.qid AND s.doc_id = f.doc_id) THEN 'claim_support'
-        WHEN {d.size('f.defs')} > 0 AND NOT EXISTS (SELECT 1 FROM supported s WHERE s.qid = f.qid AND s.doc_id = f.doc_id AND s.defines) THEN 'definition' ELSE 'survives' END AS stage FROM floored f"""
+        CASE WHEN f.relevance < {MIN_RELEVANCE}e0 THEN 'pruned_minimum_relevance' WHEN f.relevance < f.floor THEN 'pruned_relative_relevance' WHEN NOT f.has_ids THEN 'pruned_identifier_grounding'
+        WHEN NOT EXISTS (SELECT 1 FROM supporting s WHERE s.qid = f.qid AND s.doc_id = f.doc_id) THEN 'pruned_sentence_support'
+        WHEN {d.size('f.defs')} > 0 AND NOT EXISTS (SELECT 1 FROM supported s WHERE s.qid = f.qid AND s.doc_id = f.doc_id AND s.defines) THEN 'pruned_definition_answerability' ELSE 'survives_local_evidence_pruning' END AS stage FROM floored f"""
     return out
 
 

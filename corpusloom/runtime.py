@@ -69,3 +69,30 @@ def small_side(df: DataFrame, rows: int, width: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """``name``: place of each row from 0 within ``by`` in the order of ``order``, without one task per group.
+
+    Rows are range-partitioned, numbered within their partition, and shifted by the prefix sums of
+    the partitions' counts, a table of partitions x groups.
+    """
+    from pyspark.sql import Window
+
+    keys = [*by, *order]
+    parts = materialise(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "numbered")
+    w = Window.partitionBy("__part", *by)
+    local = parts.withColumn("__local", F.row_number().over(w.orderBy(*order)) - 1)
+    sizes = parts.groupBy("__part", *by).agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", *by, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before")).withColumnsRenamed({c: f"__{c}" for c in by})
+    on = (F.col("p.__part") == F.col("o.__part")) & (F.lit(True) if not by else _all_equal(by))
+    out = local.alias("p").join(F.broadcast(offsets.alias("o")) if offsets.count() <= 100_000 else offsets.alias("o"), on)
+    return out.select(*[F.col(f"p.{c}") for c in df.columns], (F.col("__local") + F.col("__before")).alias(name))
+
+
+def _all_equal(by: list[str]):
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(f"p.{c}").eqNullSafe(F.col(f"o.__{c}"))
+    return cond
