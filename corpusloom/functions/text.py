@@ -13,12 +13,12 @@ from corpusloom.functions.constants import (
     TERM,
     TRACKING_PARAMS,
 )
-from corpusloom.functions.dialect import Spark
+from corpusloom.functions.dialect import Spark, quote
 
 
 def tokens(d: Spark, t: str) -> str:
     """Terms of the index, in order and with repeats."""
-    return d.filter(d.map(d.find_all(t, TERM), "tk", "lower(tk)"), "tk", f"NOT {d.has(d.words(STOPWORDS), 'tk')}")
+    return d.filter(d.map(d.find_all(t, TERM), "tk", "lower(tk)"), "tk", f"tk NOT IN ({', '.join(map(quote, STOPWORDS))})")
 
 
 def normalised(d: Spark, t: str) -> str:
@@ -36,6 +36,8 @@ def routing_key(d: Spark, url: str, t: str) -> str:
 
 def rendezvous(d: Spark, key: str, shards: list[str]) -> str:
     """Shard with the greatest 64-bit hash of key and name; hex strings compare as the numbers do."""
+    if len(shards) == 1:
+        return f"'{shards[0]}'"
     best = f"greatest({', '.join(f'''substring({d.sha(f'''concat({key}, '|{s}')''')}, 1, 16)''' for s in shards)})"
     return "CASE " + " ".join(f"WHEN substring({d.sha(f'''concat({key}, '|{s}')''')}, 1, 16) = {best} THEN '{s}'" for s in shards) + " END"
 

@@ -45,8 +45,9 @@ class TextIndex:
         tables are written to the shared folder unless ``persist`` is off.
         """
         scope = list(scope or [])
-        toks = docs.select(*scope, F.col(id).alias("doc_id"), tokens(text or indexed_text()).alias("terms"))
-        sized = toks.select(*scope, "doc_id", F.size("terms").alias("dl"), "terms")
+        # By document, so that counting its terms needs no further shuffle and scoring finds them side by side.
+        whole = docs.select(*scope, F.col(id).alias("doc_id"), F.expr(text or indexed_text()).alias("body")).repartition("doc_id")
+        sized = whole.select(*scope, "doc_id", tokens("body").alias("terms")).select(*scope, "doc_id", F.size("terms").alias("dl"), "terms")
         stats = sized.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         postings = sized.select(*scope, "doc_id", "dl", F.explode("terms").alias("term")).groupBy(*scope, "doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
         if persist:
@@ -65,14 +66,16 @@ class TextIndex:
     def scores(self, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
         """BM25 of every (query, document) with a common term; a repeated query term counts again."""
         asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens(query)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-        asked = small_side(asked, queries.count() * 16, 64)
-        hits = self.postings.join(asked, "term")
-        df = self.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
-        hits = hits.join(df, [*self.scope, "term"])
-        hits = hits.join(F.broadcast(self.stats), self.scope) if self.scope else hits.crossJoin(F.broadcast(self.stats))
+        asked = materialise(asked, "asked")
+        rows = asked.count()
+        wanted = small_side(asked.select("term").distinct(), rows, 64)
+        df = self.postings.join(wanted, "term", "left_semi").groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
+        known = df.join(F.broadcast(self.stats), self.scope) if self.scope else df.crossJoin(F.broadcast(self.stats))  # one row, or one a shard
         n, d, tf = F.col("n"), F.col("df"), F.col("tf")
-        idf = F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5))
-        part = F.col("times") * idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.greatest("avgdl", F.lit(1e-9))))
+        weight = F.col("times") * F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5)) * (BM25_K1 + 1)
+        weighed = materialise(known.join(asked, "term").select(*self.scope, "qid", "term", weight.alias("weight"), F.greatest("avgdl", F.lit(1e-9)).alias("avgdl")), "weighed")
+        hits = self.postings.join(small_side(weighed, weighed.count(), 96), [*self.scope, "term"])
+        part = F.col("weight") * tf / (tf + BM25_K1 * (1 - BM25_B) + BM25_K1 * BM25_B * F.col("dl") / F.col("avgdl"))
         return hits.groupBy(*self.scope, "qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
     def search(self, queries: DataFrame, k: int, qid: str = "qid", query: str = "query") -> DataFrame:

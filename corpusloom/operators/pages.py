@@ -286,5 +286,5 @@ def crawl(spark: SparkSession, pages: DataFrame, seeds: list[str], max_pages: in
         seen = visited if seen is None else seen.unionByName(visited)
         if counts["seen"] >= max_pages or not c[0] or depth == max_depth:
             break
-        frontier = links(html).join(html.select("url", "n"), "url").select(F.col("link").alias("url"), F.struct(F.col("n").cast("long").alias("a"), F.col("place").alias("b")).alias("place"))
+        frontier = links(html).join(html.select("url", "n"), "url").select(F.col("link").alias("url"), F.struct(F.col("n").cast("long").alias("a"), F.col("place").alias("b")).alias("place")).where(in_domain)
     return seen, counts

@@ -157,10 +157,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for b in batches:
                 col = b.column("vector")
                 x = col.flatten().to_numpy().reshape(len(col), -1).astype(np.float64)
-                s, doc = np.round(m @ x.T, 6), b.column("doc_id").to_numpy()
+                s, doc = np.round(m @ x.T, 6), b.column("doc_id").to_numpy(zero_copy_only=False)
+                place = np.unique(doc, return_inverse=True)[1]
                 keep = min(k, len(doc))
-                top = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, dtype=object), keep).tolist()), pa.array(doc[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["qid", "doc_id", "score"])
+                top = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :keep]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(keep)]), b.column("doc_id").take(pa.array(top.ravel())), pa.array(np.take_along_axis(s, top, 1).ravel())], ["qid", "doc_id", "score"])
 
         part = vectors.select("doc_id", "vector").mapInArrow(best, f"qid {kind}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double")
         out = part if out is None else out.unionByName(part)
