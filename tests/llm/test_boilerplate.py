@@ -23,7 +23,7 @@ def test_min_cut_is_minimal():
 def page(i):
     r = random.Random(i)
     tell = lambda: "The " + " ".join(r.choices("scheduler worker lease entry queue shard broker keeps moves confirms renews before after while every single old new".split(), k=18)) + "."
-    own = [f"Why operators number {i} drain the queue", tell() + " " + tell(), "- " + tell(), f"| {tell()[:20]} | b | c |", f"if x > {i}: run_{r.choice('abcdefgh')}{r.choice('abcdefgh')}()", "The session cookie set by the gateway carries a signed lease, and " + tell()]
+    own = ["Why operators " + " ".join(tell().split()[1:5]), tell() + " " + tell(), "- " + tell(), f"| {tell()[:20]} | b | c |", f"if x > {i}: run_{r.choice('abcdefgh')}{r.choice('abcdefgh')}()", "The session cookie set by the gateway carries a signed lease, and " + tell()]
     junk = ["Home | Products | Docs | Blog | Login", "We use cookies to improve this site. Accept all", "More on queues and leases", "» How a queue drains", "» Tuning the lease of a worker", "© 2024 Example. All rights reserved"]
     return "\n".join([junk[0], junk[1], own[0], "", *own[1:], junk[2], *junk[3:]]), {1, 2, 10, 11, 12, 13}
 
