@@ -133,6 +133,13 @@ def _funnel(spark, d):
     return f.groupBy("stage").agg(F.count("*").alias("candidates"), F.countDistinct("qid").alias("queries"))
 
 
+def _marks(spark, d):
+    """Every candidate, marked as cited or not."""
+    found = retrieved(spark, d)
+    cited = answers.evaluate(spark, found, cases(spark, d), "survivors", "qid, doc_id, true AS cited")
+    return found.select("qid", "doc_id", "rank").join(cited, ["qid", "doc_id"], "left").na.fill(False, ["cited"])
+
+
 QUERIES = {
     "doc_stats": lambda spark, d: corpus(spark, d).select("doc_id", F.expr(f"size({text.tokens(SPARK, indexed_text())})").alias("dl")),
     "corpus_stats": lambda spark, d: index(spark, d).stats.select("n", F.round("avgdl", 6).alias("avgdl")),
@@ -155,6 +162,8 @@ QUERIES = {
     "cluster_merge": merged,
     "partial_merge": lambda spark, d: shard_lists(spark, d).where("shard_id <> 'shard-1'").groupBy("qid").agg(F.count("*").alias("results"), F.countDistinct("shard_id").alias("healthy")),
     "title_overlap": lambda spark, d: retrieved(spark, d).select("qid", "doc_id", F.round(F.expr(evidence.title_overlap(SPARK, text.tokens(SPARK, "query"), text.tokens(SPARK, "coalesce(title, '')"))), 6).alias("overlap")),
+    "cluster_vocabulary": lambda spark, d: TextIndex.build(shards(spark, d), scope=["shard_id"], persist=False).postings.select("shard_id", "term").distinct().groupBy("shard_id").agg(F.count("*").alias("terms")).agg(F.sum("terms").alias("summed_terms"), F.count("*").alias("shards")),
+    "candidate_marks": _marks,
 } | {n: _run_evidence(n) for n in _EVIDENCE if n != "stage_funnel"} | {"stage_funnel": _funnel}
 
 # ---- the same in SQL
@@ -219,6 +228,8 @@ ORACLE = {
     "cluster_merge": f"WITH {_MERGE} SELECT qid, doc_id, rank, score, title_overlap, bm25_score FROM m WHERE rank <= {K}",
     "partial_merge": f"WITH {_index_sql(_SHARDS, 'shard_id')} SELECT qid, count(*) AS results, count(DISTINCT shard_id) AS healthy FROM ranked WHERE rank <= {candidates(K)} AND shard_id <> 'shard-1' GROUP BY qid",
     "title_overlap": f"WITH {_CAND} SELECT qid, doc_id, round({evidence.title_overlap(DUCK, text.tokens(DUCK, 'query'), text.tokens(DUCK, "coalesce(title, '')"))}, 6) AS overlap FROM candidates",
+    "cluster_vocabulary": f"WITH {_index_sql(_SHARDS, 'shard_id')} SELECT count(*) AS summed_terms, count(DISTINCT shard_id) AS shards FROM f",
+    "candidate_marks": f"WITH {_CAND}, queries AS (SELECT id AS qid, query FROM eval_cases), m AS ({answers.chain(DUCK, 'survivors', 'qid, doc_id')}) SELECT c.qid, c.doc_id, c.rank, m.qid IS NOT NULL AS cited FROM candidates c LEFT JOIN m ON c.qid = m.qid AND c.doc_id = m.doc_id",
 } | {n: _evidence_sql(n) for n in _EVIDENCE if n != "stage_funnel"} | {
     "stage_funnel": f"SELECT stage, count(*) AS candidates, count(DISTINCT qid) AS queries FROM ({_evidence_sql('stage_funnel')}) GROUP BY stage",
 }
