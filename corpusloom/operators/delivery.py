@@ -25,7 +25,7 @@ LAST = np.iinfo(np.int64).max
 
 def message_key(event_id: Column) -> Column:
     """Identifier without surrounding white space and letter case."""
-    return F.lower(F.regexp_replace(event_id, r"(?U)^\s+|\s+$", ""))
+    return F.lower(F.regexp_replace(event_id, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
 def _columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

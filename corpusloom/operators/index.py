@@ -57,9 +57,15 @@ class TextIndex:
     def document_frequency(self) -> DataFrame:
         return self.postings.groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
 
+    def _with_stats(self, df: DataFrame) -> DataFrame:
+        """``n`` and ``avgdl`` beside each row: constants for the whole corpus, one row a shard otherwise."""
+        if self.scope:
+            return df.join(F.broadcast(self.stats), self.scope)
+        s = self.stats.first()
+        return df.withColumns({"n": F.lit(s["n"]), "avgdl": F.lit(float(s["avgdl"] or 0.0))})
+
     def idf(self) -> DataFrame:
-        df = self.document_frequency()
-        joined = df.join(F.broadcast(self.stats), self.scope) if self.scope else df.crossJoin(F.broadcast(self.stats))
+        joined = self._with_stats(self.document_frequency())
         n, d = F.col("n"), F.col("df")
         return joined.select(*self.scope, "term", "df", F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5)).alias("idf"))
 
@@ -70,7 +76,7 @@ class TextIndex:
         rows = asked.count()
         wanted = small_side(asked.select("term").distinct(), rows, 64)
         df = self.postings.join(wanted, "term", "left_semi").groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
-        known = df.join(F.broadcast(self.stats), self.scope) if self.scope else df.crossJoin(F.broadcast(self.stats))  # one row, or one a shard
+        known = self._with_stats(df)
         n, d, tf = F.col("n"), F.col("df"), F.col("tf")
         weight = F.col("times") * F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5)) * (BM25_K1 + 1)
         weighed = materialise(known.join(asked, "term").select(*self.scope, "qid", "term", weight.alias("weight"), F.greatest("avgdl", F.lit(1e-9)).alias("avgdl")), "weighed")

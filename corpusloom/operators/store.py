@@ -8,6 +8,7 @@ place, and ``VersionedStore`` swaps a pointer after a complete write.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,26 +96,28 @@ def micro_batches(rows: DataFrame, size: int = 25, order: str = "input_id") -> D
 
 
 class VersionedStore:
-    """A store in a folder: every commit writes a complete version, then swaps the pointer; rollback swaps it back.
+    """A store in a folder: a version is a list of immutable runs, and a commit swaps the pointer to it.
 
-    Versions are partitioned by shard_id, so a restore of one shard reads its files alone.
+    ``append`` writes only the rows that are new; ``commit`` writes a complete run and is what an
+    upsert, a replacement and a compaction do.  Rollback goes back one version.  Runs are partitioned
+    by shard_id, so a restore of one shard reads its files alone.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, max_runs: int = 32):
+        self.spark, self.path, self.max_runs = spark, path.rstrip("/"), max_runs
         self.jvm = spark.sparkContext._jvm
-        self.root = self.jvm.org.apache.hadoop.fs.Path(self.path)
-        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
 
-    def versions(self) -> list[int]:
+    def versions(self) -> list[list[str]]:
+        """The runs of each version, the newest last."""
         if not self.fs.exists(self._pointer()):
             return []
         return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
 
-    def _point(self, versions: list[int]) -> None:
+    def _point(self, versions: list[list[str]]) -> None:
         tmp = self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/.CURRENT.tmp")
         out = self.fs.create(tmp, True)
         out.write(bytearray(json.dumps(versions), "utf-8"))
@@ -125,30 +128,36 @@ class VersionedStore:
     def create(self) -> None:
         """An empty store where there is none."""
         if not self.versions():
-            self.commit(self.spark.createDataFrame([], STORE))
+            self._point([[]])
 
     def read(self, shard_id: str | None = None) -> DataFrame:
-        v = self.versions()
-        if not v:
-            return self.spark.createDataFrame([], STORE)
-        df = self.spark.read.schema(STORE).parquet(f"{self.path}/v={v[-1]}")
+        runs = (self.versions() or [[]])[-1]
+        df = self.spark.read.schema(STORE).parquet(*(f"{self.path}/{r}" for r in runs)) if runs else self.spark.createDataFrame([], STORE)
         return df if shard_id is None else df.where(F.col("shard_id") == shard_id)
 
     def restore(self, shard_id: str) -> DataFrame:
         return self.read(shard_id).orderBy("indexed_at", "document_id")
 
-    def commit(self, df: DataFrame) -> int:
-        v = (self.versions() or [0])[-1] + 1
-        df.select(*ROW).write.mode("overwrite").partitionBy("shard_id").parquet(f"{self.path}/v={v}")
-        self._point([*self.versions(), v])
-        return v
+    def _write(self, df: DataFrame) -> str:
+        run = f"run-{uuid.uuid4().hex}"
+        df.select(*ROW).write.partitionBy("shard_id").parquet(f"{self.path}/{run}")
+        return run
+
+    def commit(self, df: DataFrame) -> None:
+        self._point([*self.versions(), [self._write(df)]])
+
+    def append(self, rows: DataFrame) -> None:
+        """Adds rows whose keys the store hasn't (``new_rows``)."""
+        versions = self.versions() or [[]]
+        self._point([*versions, [*versions[-1], self._write(rows)]])
+        if len(versions[-1]) >= self.max_runs:
+            self.commit(self.read())
 
     def rollback(self) -> None:
         self._point(self.versions()[:-1])
 
-    def upsert(self, rows: DataFrame, order: str = "input_id") -> int:
-        return self.commit(upsert(self.read(), rows, order))
-
-    def replace(self, rows: DataFrame, order: str = "input_id") -> int:
-        return self.commit(replace_slices(self.read(), rows, order))
+    def upsert(self, rows: DataFrame, order: str = "input_id") -> None:
+        self.commit(upsert(self.read(), rows, order))
 
+    def replace(self, rows: DataFrame, order: str = "input_id") -> None:
+        self.commit(replace_slices(self.read(), rows, order))

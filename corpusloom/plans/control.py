@@ -14,12 +14,21 @@ from corpusloom.runtime import table
 #: System states that every query is planned for: state, requested, inflight, capacity, healthy, total, unavailable, p95_ms.
 STATES = [(0, "auto", 1, 32, 3, 3, 0, 120.0), (1, "auto", 22, 32, 3, 3, 1, 900.0), (2, "auto", 25, 32, 2, 3, 0, 1500.0), (3, "auto", 30, 32, 1, 3, 2, 2500.0), (4, "semantic", 1, 32, 3, 3, 0, 10.0), (5, "auto", 1, 32, 1, 1, 0, 0.0)]
 _COLS = "state, requested, inflight, capacity, healthy, total, unavailable, p95_ms"
-_VALUES = ", ".join(f"({a}, '{b}', {c}, {d}, {e}, {f}, {g}, {h}e0)" for a, b, c, d, e, f, g, h in STATES)
-_ASKED = f"(SELECT e.id, e.query, s.* FROM eval_cases e JOIN (SELECT * FROM (VALUES {_VALUES}) v ({_COLS})) s ON true) q"
+_NAMES = _COLS.split(", ")
+
+
+def _asked(d) -> str:
+    """Every case with every state, a row of each from an array of constants."""
+    value = lambda v: f"'{v}'" if isinstance(v, str) else f"{v}e0" if isinstance(v, float) else str(v)
+    if d.name == "spark":
+        states = "array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {value(v)}" for n, v in zip(_NAMES, s)) + ")" for s in STATES) + ")"
+    else:
+        states = "[" + ", ".join("{" + ", ".join(f"'{n}': {value(v)}" for n, v in zip(_NAMES, s)) + "}" for s in STATES) + "]"
+    return "(SELECT id, query, " + ", ".join(f"st.{n} AS {n}" for n in _NAMES) + f" FROM {d.lists('eval_cases', 'id, query', states, 'st')} x) q"
 
 
 def _plan(d):
-    return planner.plan(d, _ASKED)
+    return planner.plan(d, _asked(d))
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:

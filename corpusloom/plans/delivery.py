@@ -6,7 +6,7 @@ from corpusloom.operators.delivery import exactly_once, redundant_deliveries
 from corpusloom.runtime import table
 
 #: White space at the ends, for engines whose \s is ASCII only.
-WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f]"
 _RANKED = f"""SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(event_id, '^{WS}+|{WS}+$', '', 'g'))
     ORDER BY attempt, created_at, delivery_id) AS rn FROM index_events WHERE event_id IS NOT NULL"""
 

@@ -39,7 +39,7 @@ class SearchSession:
         fresh = materialise(new_rows(rows, self.store.read()).drop("copies"), "fresh")
         total, added = rows.count(), fresh.count()
         if added:
-            self.store.upsert(fresh)
+            self.store.append(fresh)
         return {"added": added, "skipped": total - added}
 
     def refresh(self, documents: DataFrame) -> dict:
@@ -58,7 +58,7 @@ class SearchSession:
         return self.store.read().select(F.concat_ws("/", "shard_id", "document_id").alias("doc_id"), "title", F.col("body").alias("text"), "url", "source")
 
     def _index(self) -> tuple[TextIndex, LatentSpace]:
-        version = self.store.versions()[-1]
+        version = tuple(self.store.versions()[-1])
         if self._built is None or self._built[0] != version:
             index = TextIndex.build(self.documents())
             self._built = (version, index, LatentSpace.fit(self.spark, index))

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.functions.constants import RETRY_MAX
 from corpusloom.operators import events
 from corpusloom.operators.store import VersionedStore, new_rows, store_rows
+from corpusloom.runtime import materialise
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -31,7 +32,7 @@ class IndexStream:
     A batch is split into valid events and dead letters; valid ones that ``refuses`` (a condition over
     delivery columns, for tests and partial outages) are written to the retry folder with their attempt
     and the error, or to the dead letters beyond the limit; the rest is deduplicated against the store
-    without a time limit and upserted under its owner shard.  A batch that is run again after a crash
+    without a time limit and appended under its owner shard.  A batch that is run again after a crash
     finds its rows in the store and changes nothing.
     """
 
@@ -51,9 +52,9 @@ class IndexStream:
                 again.select(F.to_json(F.struct("event_id", "document", "attempt", "created_at", "last_error", "not_before")).alias("value")).write.mode("overwrite").text(f"{self.retry}/batch-{batch_id}")
                 failed.where(F.col("attempt") > RETRY_MAX).select(F.to_json(F.struct("event_id", "document", "attempt", "last_error")).alias("value")).write.mode("overwrite").text(f"{self.dead}/exhausted-{batch_id}")
             docs = ok.select("document.*", F.col("created_at").alias("received_at"), F.xxhash64("event_id").alias("input_id"))
-            rows = new_rows(store_rows(docs, self.shards), self.store.read())
+            rows = materialise(new_rows(store_rows(docs, self.shards), self.store.read()), "batch")
             if not rows.isEmpty():
-                self.store.upsert(rows)
+                self.store.append(rows)
         finally:
             raw.unpersist()
 
