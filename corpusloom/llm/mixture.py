@@ -22,7 +22,7 @@ from corpusloom.runtime import materialise
 
 def source_name(c: Column) -> Column:
     """Source without letter case and surrounding white space."""
-    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.lower(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -58,7 +58,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = 2048, s
     The mix is as large as all texts together.  A null share counts as 0 and a null or negative cap
     as 0 repeats.  Targets whose names agree without case and blanks share their documents: shares
     add up, the larger cap holds.  Documents without a target, and sources without documents, are in
-    no block; the latter still have a row in ``shares``.  The targets are a table of settings, one
+    no block; the latter still have a row in ``shares``, whose ``actual_share`` is of the mix aimed at
+    and ``share_of_mix`` of the mix that came out (targets of one name each show its tokens).  The targets are a table of settings, one
     row per source, and are read by the driver.
     """
     spark = documents.sparkSession
@@ -117,4 +118,6 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = 2048, s
     shares = facts_df.join(reached, "name", "left").select(
         "source", "target_share", "max_repeats", "source_tokens", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         F.coalesce(F.try_divide(F.col("used_tokens"), F.lit(total)), F.lit(0.0)).alias("actual_share"), "unreachable")
+    mixed = F.sum("used_tokens").over(Window.partitionBy())  # the table of targets
+    shares = shares.withColumn("share_of_mix", F.coalesce(F.try_divide("used_tokens", mixed), F.lit(0.0)))
     return Mixture(uses, shares)

@@ -8,7 +8,7 @@ from corpusloom.llm import boilerplate, bpe, mixture, near_duplicates, repeated_
 from corpusloom.runtime import table
 
 #: White space for a regular expression engine whose \s is ASCII only.
-WS = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f"
 ROW = ["shard_id", "document_id"]
 
 

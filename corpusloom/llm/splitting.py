@@ -20,7 +20,7 @@ RANGE_BYTES, HALO_BYTES = 1 << 20, 1 << 14
 PIECES = "piece_no int, start_char long, end_char long, piece string"
 #: The white space of Unicode as UTF-8, by length in bytes.
 _WHITE1 = np.zeros(256, bool)
-_WHITE1[[9, 10, 11, 12, 13, 32]] = True
+_WHITE1[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _WHITE3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 #: Ends of sentences that need no white space after them, as UTF-8.
 _STOP3 = np.array([0xE38082, 0xEFBC81, 0xEFBC9F])
