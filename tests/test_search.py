@@ -104,3 +104,20 @@ def test_nearest_ties_by_id(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0]) for i in (3, 1, 2)], "doc_id long, vector array<float>")
     q = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, vector array<float>")
     assert [(r.doc_id, r.rank) for r in nearest(v, q, 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_nearest_over_many_batches(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(500, 4)), 1)
+    df = spark.createDataFrame([(f"d{i:03d}", [float(v) for v in row]) for i, row in enumerate(x)], "doc_id string, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(j, [float(v) for v in x[j]]) for j in range(5)], "qid long, vector array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {(r.qid, r.rank): (r.doc_id, r.score) for r in nearest(df, q, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for j in range(5):
+        s = np.round(x @ x[j], 6)
+        want = sorted(range(500), key=lambda i: (-s[i], i))[:7]
+        assert [got[j, n + 1][0] for n in range(7)] == [f"d{i:03d}" for i in want]
