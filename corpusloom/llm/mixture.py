@@ -20,6 +20,10 @@ from corpusloom.llm.bpe import count_tokens
 from corpusloom.runtime import materialise
 
 
+#: Output shards that are drawn for; with more blocks the shards get larger, so the draws stay a small table.
+MAX_SHARDS = 10_000
+
+
 def source_name(c: Column) -> Column:
     """Source without letter case and surrounding white space."""
     return F.lower(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
@@ -93,7 +97,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = 2048, s
     # Quotas and the shards' draws; one number per source and shard.
     order = sorted(k for k in blocks if k is not None and by_name[k][0])
     quota = np.array([min(blocks[k] * wanted[k][1], round(wanted[k][0] * total * blocks[k] / by_name[k][0])) for k in order], np.int64)
-    shards = max(1, -(-int(quota.sum()) // shard_blocks))
+    shards = min(MAX_SHARDS, max(1, -(-int(quota.sum()) // shard_blocks)))
     rng, left, draws = np.random.default_rng(seed), quota.copy(), []
     for s in range(shards):
         size = int(left.sum()) // (shards - s)
