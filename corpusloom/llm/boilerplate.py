@@ -46,13 +46,16 @@ STOP = re.compile(r"[.!?:;。！？…।॥؟۔։።\"”»)]$")
 CODE = re.compile(r"[{}=;]|\w\(|^(?:def|return|for|if|while|class|import|let|var|const)\b|--\w|^\s{4}|_\w+:")
 WORD = re.compile(r"[^\W\d_]{2,}")
 
-SHAPES = ["one", "bullet_title", "bullet_text", "sentence", "long", "short", "menu", "many_parts", "code", "table", "upper", "after_related", "first_lines", "last_lines", "heading_like"]
+SHAPES = ["one", "bullet_title", "bullet_text", "sentence", "long", "short", "menu", "many_parts", "code", "table", "upper", "after_related", "first_lines", "last_lines", "heading_like", "dangling", "listed"]
 # Prior means of the weights (positive: furniture); the fit moves them where the sample says so.
-PRIOR = dict.fromkeys(KINDS, 5.0) | {"one": -0.6, "bullet_title": 1.2, "bullet_text": -2.5, "sentence": -1.5, "long": -1.5, "short": 0.2, "menu": 3.5, "many_parts": 1.5, "code": -2.5, "table": -4.0, "upper": 0.0, "after_related": 2.0, "first_lines": 0.0, "last_lines": 0.3, "heading_like": -1.4}
+PRIOR = dict.fromkeys(KINDS, 5.0) | {"one": -0.6, "bullet_title": 1.2, "bullet_text": -2.5, "sentence": -1.5, "long": -1.5, "short": 0.2, "menu": 3.5, "many_parts": 1.5, "code": -2.5, "table": -4.0, "upper": 0.0, "after_related": 2.0, "first_lines": 0.0, "last_lines": 0.3, "heading_like": -1.4, "dangling": 2.8, "listed": 2.6}
 FIELDS = KINDS + SHAPES
 INDEX = {k: i for i, k in enumerate(FIELDS)}
 
 
+BODY = {INDEX[f] for f in ("sentence", "bullet_text", "code", "table")}
+
+
 def _menu(line: str) -> int:
     """Number of short parts without sentence marks that a separator or wide blanks divide; 0 if it isn't such a line."""
     parts = [p for p in PART.split(line.strip()) if p]
@@ -126,6 +129,20 @@ def read_page(text: str | None) -> list[Line]:
             fields.append(INDEX["upper"])
         n.fields, n.words = fields, WORD.findall(body.lower())
         out.append(n)
+    # A heading heads something: one in a list of related pages, or after all content of a page with such a list, doesn't.
+    text = [bool(BODY.intersection(n.fields)) and not n.kind for n in out]
+    first, last = (text.index(True), len(text) - 1 - text[::-1].index(True)) if any(text) else (len(out), len(out))
+    lists, listing = any(n.kind == "related" for n in out), False
+    for i, n in enumerate(out):
+        if INDEX["heading_like"] in n.fields:
+            if lists and first < i > last:
+                n.fields.append(INDEX["dangling"])
+            alone = i < first and not any(0 <= j < len(out) and INDEX["heading_like"] in out[j].fields for j in (i - 1, i + 1))
+            listing = listing and not alone and not (i + 1 < len(out) and text[i + 1])
+            if listing:
+                n.fields.append(INDEX["listed"])
+        else:
+            listing = n.kind == "related"
     for i, n in enumerate(out):
         if i < 2:
             n.fields.append(INDEX["first_lines"])
