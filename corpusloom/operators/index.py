@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,24 +29,49 @@ def rank(by: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
+#: Queries that are scored together; their weights are broadcast, at most 250 terms each.
+QUERY_BLOCK = 1024
+#: Cells of the term-by-document matrix that a task scores at once.
+CELLS = 4_000_000
+
+
+def best_of(score: np.ndarray, docs: np.ndarray, old_score: np.ndarray, old_docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of two score matrices with their documents, ties by document."""
+    rows = np.arange(len(score))[:, None]
+    if score.shape[1] > k:  # all that tie with the k-th stay until the documents decide
+        least = -np.partition(-score, k - 1, 1)[:, k - 1 : k]
+        width = int((score >= least).sum(1).max())
+        top = np.argsort(-score, 1, kind="stable")[:, :width]
+        score, docs = score[rows, top], docs[rows, top]
+    score, docs = np.concatenate((old_score, score), 1), np.concatenate((old_docs, docs.astype(object)), 1)
+    place = np.unique(docs.astype(np.int64) if isinstance(docs.flat[0], (int, np.integer)) else docs.astype(str), return_inverse=True)[1].reshape(docs.shape) if docs.size else docs
+    top = np.lexsort((place, -score), axis=1)[:, :k]
+    return score[rows, top], docs[rows, top]
+
+
 @dataclass
 class TextIndex:
-    """``postings``: scope columns, doc_id, term, tf, dl; ``stats``: scope, n, avgdl.
+    """``rows``: scope columns, doc_id, dl, terms, tfs; ``postings``: the same by term; ``stats``: scope, n, avgdl.
 
     ``scope`` are the columns within which statistics are taken: none for the whole corpus, the
     shard for shard-local search.
     """
 
-    postings: DataFrame
+    rows: DataFrame
     stats: DataFrame
     scope: list[str]
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.select(*self.scope, "doc_id", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).toDF(*self.scope, "doc_id", "dl", "term", "tf")
+
     @classmethod
     def build(cls, docs: DataFrame, id: str = "doc_id", scope: list[str] | None = None, text: str | None = None, persist: bool = True) -> "TextIndex":
         """Tokenise once.  Documents without a term have no posting but count in n and avgdl; a null text is empty.
 
-        Terms are counted within the map task first, so a term of every document costs no skew; the
-        tables are written to the shared folder unless ``persist`` is off.
+        A row holds a whole document, so a term of every document costs no skew and a document's score
+        is complete in one task.  The tables are written to the shared folder unless ``persist`` is off.
+        ``id`` must tell documents (of a scope) apart.
         """
         scope = list(scope or [])
         # By document, so that counting its terms needs no further shuffle and scoring finds them side by side.
@@ -50,9 +79,10 @@ class TextIndex:
         sized = whole.select(*scope, "doc_id", tokens("body").alias("terms")).select(*scope, "doc_id", F.size("terms").alias("dl"), "terms")
         stats = sized.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         postings = sized.select(*scope, "doc_id", "dl", F.explode("terms").alias("term")).groupBy(*scope, "doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        rows = postings.groupBy(*scope, "doc_id", "dl").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
         if persist:
-            postings, stats = materialise(postings, "postings"), materialise(stats, "stats")
-        return cls(postings, stats, scope)
+            rows, stats = materialise(rows, "index"), materialise(stats, "stats")
+        return cls(rows, stats, scope)
 
     def document_frequency(self) -> DataFrame:
         return self.postings.groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
@@ -69,22 +99,99 @@ class TextIndex:
         n, d = F.col("n"), F.col("df")
         return joined.select(*self.scope, "term", "df", F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5)).alias("idf"))
 
-    def scores(self, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
-        """BM25 of every (query, document) with a common term; a repeated query term counts again."""
+    def _weights(self, queries: DataFrame, qid: str, query: str) -> DataFrame:
+        """Scope, qid, term, weight (times, idf and the constant factor) and avgdl of every query term the index knows."""
         asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens(query)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
         asked = materialise(asked, "asked")
-        rows = asked.count()
-        wanted = small_side(asked.select("term").distinct(), rows, 64)
+        wanted = small_side(asked.select("term").distinct(), asked.count(), 64)
         df = self.postings.join(wanted, "term", "left_semi").groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
         known = self._with_stats(df)
-        n, d, tf = F.col("n"), F.col("df"), F.col("tf")
+        n, d = F.col("n"), F.col("df")
         weight = F.col("times") * F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5)) * (BM25_K1 + 1)
-        weighed = materialise(known.join(asked, "term").select(*self.scope, "qid", "term", weight.alias("weight"), F.greatest("avgdl", F.lit(1e-9)).alias("avgdl")), "weighed")
+        return materialise(known.join(asked, "term").select(*self.scope, "qid", "term", weight.alias("weight"), F.greatest("avgdl", F.lit(1e-9)).alias("avgdl")), "weighed")
+
+    def scores(self, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
+        """BM25 of every (query, document) with a common term; a repeated query term counts again."""
+        weighed, tf = self._weights(queries, qid, query), F.col("tf")
         hits = self.postings.join(small_side(weighed, weighed.count(), 96), [*self.scope, "term"])
         part = F.col("weight") * tf / (tf + BM25_K1 * (1 - BM25_B) + BM25_K1 * BM25_B * F.col("dl") / F.col("avgdl"))
         return hits.groupBy(*self.scope, "qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
     def search(self, queries: DataFrame, k: int, qid: str = "qid", query: str = "query") -> DataFrame:
-        """The k best documents of each query (and scope); ties by document id."""
-        r = rank([*self.scope, "qid"], [F.desc("score"), F.asc("doc_id")])
-        return self.scores(queries, qid, query).withColumn("rank", r).where(F.col("rank") <= k)
+        """The k best documents of each query (and scope); ties by document id.
+
+        Queries go in blocks of ``QUERY_BLOCK``: a task multiplies their weights with its documents'
+        saturated term counts and keeps its k best of each, so tasks x queries x k rows are shuffled
+        and not a row for each query and matching document, as ``scores`` does.
+        """
+        spark, scope = self.rows.sparkSession, self.scope
+        weighed = self._weights(queries, qid, query)
+        blocks = -(-weighed.select("qid").distinct().count() // (QUERY_BLOCK // 2))
+        kinds = {c: (queries.schema[qid] if c == "qid" else self.rows.schema[c]).dataType for c in (*scope, "qid", "doc_id")}
+        schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds.items()) + ", score double"
+        out = spark.createDataFrame([], schema)
+        for block in range(blocks):
+            part = weighed.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else weighed
+            sent = spark.sparkContext.broadcast(_Weights(part.collect(), scope))
+            out = out.unionByName(self.rows.mapInArrow(_scorer(sent, scope, k), schema))
+        r = rank([*scope, "qid"], [F.desc("score"), F.asc("doc_id")])
+        return out.withColumn("rank", r).where(F.col("rank") <= k)
+
+
+class _Weights:
+    """Weights of a block of queries by scope: query ids, terms, a dense matrix of queries by terms, and avgdl."""
+
+    def __init__(self, rows: list, scope: list[str]):
+        groups: dict[tuple, list] = {}
+        for r in rows:
+            groups.setdefault(tuple(r[c] for c in scope), []).append(r)
+        self.by = {}
+        for key, got in groups.items():
+            ids, terms = list(dict.fromkeys(r["qid"] for r in got)), list(dict.fromkeys(r["term"] for r in got))
+            q, t = {v: i for i, v in enumerate(ids)}, {v: i for i, v in enumerate(terms)}
+            w = np.zeros((len(ids), len(terms)))
+            for r in got:
+                w[q[r["qid"]], t[r["term"]]] = r["weight"]
+            self.by[key] = ids, terms, w, got[0]["avgdl"]
+
+
+def _scorer(sent, scope: list[str], k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, best = sent.value.by, {}
+        kinds = None
+        for b in batches:
+            kinds = {c: b.column(c).type for c in (*scope, "doc_id")}
+            if scope:
+                keys = list(zip(*(b.column(c).to_pylist() for c in scope)))
+                parts = [(s, b.take(pa.array([i for i, x in enumerate(keys) if x == s]))) for s in dict.fromkeys(keys)]
+            else:
+                parts = [((), b)]
+            for key, p in parts:
+                if key not in by:
+                    continue
+                ids, terms, w, avgdl = by[key]
+                step = max(1, CELLS // max(1, *w.shape))
+                for lo in range(0, p.num_rows, step):
+                    score, docs = _block(p.slice(lo, step), terms, w, avgdl)
+                    best[key] = best_of(score, docs, *best.get(key, (np.empty((len(ids), 0)), np.empty((len(ids), 0), object))), k)
+        for key, (score, docs) in best.items():
+            at, place = np.nonzero(score > -np.inf)
+            ids = by[key][0]
+            cols = [pa.array([v] * len(at), kinds[c]) for c, v in zip(scope, key)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([ids[i] for i in at]), pa.array(docs[at, place].tolist(), kinds["doc_id"]), pa.array(score[at, place])], [*scope, "qid", "doc_id", "score"])
+
+    return run
+
+
+def _block(p: pa.RecordBatch, terms: list[str], w: np.ndarray, avgdl: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of queries by documents, -inf without a common term, and the documents."""
+    col, tf = p.column("terms"), p.column("tfs").flatten().to_numpy()
+    doc = np.repeat(np.arange(p.num_rows), np.diff(col.offsets.to_numpy()))
+    term = pc.fill_null(pc.index_in(col.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+    known = term >= 0
+    tf, doc, term = tf[known].astype(np.float64), doc[known], term[known]
+    dl = p.column("dl").to_numpy(zero_copy_only=False)[doc]
+    x = np.zeros((len(terms), p.num_rows))
+    x[term, doc] = tf / (tf + BM25_K1 * (1 - BM25_B) + BM25_K1 * BM25_B * dl / avgdl)
+    s = w @ x
+    return np.where(s > 0, np.round(s, 6), -np.inf), np.broadcast_to(p.column("doc_id").to_numpy(zero_copy_only=False), s.shape)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.constants import LSA_DIMENSIONS, LSA_FEATURES
-from corpusloom.operators.index import TextIndex, rank
+from corpusloom.operators.index import TextIndex, best_of, rank
 from corpusloom.runtime import materialise
 
 #: Queries scored together by one task; a block times the dimensions is all that is broadcast.
@@ -137,20 +137,6 @@ def _lists(y: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()))
 
 
-def _best(score: np.ndarray, docs: np.ndarray, old_score: np.ndarray, old_docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row of two score matrices with their documents, ties by document."""
-    rows = np.arange(len(score))[:, None]
-    if score.shape[1] > k:  # all that tie with the k-th stay until the documents decide
-        least = -np.partition(-score, k - 1, 1)[:, k - 1 : k]
-        width = int((score >= least).sum(1).max())
-        top = np.argsort(-score, 1, kind="stable")[:, :width]
-        score, docs = score[rows, top], docs[rows, top]
-    score, docs = np.concatenate((old_score, score), 1), np.concatenate((old_docs, docs.astype(object)), 1)
-    place = np.unique(docs.astype(np.int64) if isinstance(docs.flat[0], (int, np.integer)) else docs.astype(str), return_inverse=True)[1].reshape(docs.shape) if docs.size else docs
-    top = np.lexsort((place, -score), axis=1)[:, :k]
-    return score[rows, top], docs[rows, top]
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``qid, doc_id, score, rank``: the k greatest dot products of each query (ties by doc_id).
 
@@ -173,7 +159,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 col = b.column("vector")
                 x = col.flatten().to_numpy().reshape(len(col), -1).astype(np.float64)
                 doc = b.column("doc_id").to_numpy(zero_copy_only=False)
-                score, docs = _best(np.round(m @ x.T, 6), np.broadcast_to(doc, (len(ids), len(doc))), score, docs, k)
+                score, docs = best_of(np.round(m @ x.T, 6), np.broadcast_to(doc, (len(ids), len(doc))), score, docs, k)
             n = score.shape[1]
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(docs.ravel().tolist(), b.column("doc_id").type), pa.array(score.ravel())], ["qid", "doc_id", "score"])
