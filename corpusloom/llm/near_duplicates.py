@@ -81,14 +81,13 @@ def _distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def common_shingles(df: DataFrame, text: str, k: int, common: float) -> np.ndarray:
-    """Sorted k-mers that about ``common`` of all records have: counts of every batch, those under half the share left out."""
+    """Sorted k-mers that occur about ``common`` times the number of records: counts of every batch, those under half the share left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, parts = batch.column(0).to_pylist(), []
             for lo, hi in _chunks(texts):
-                _, first, gs, _ = _distinct(*_shingles(texts[lo:hi], k))
-                parts.append(gs[first])
+                parts.append(_shingles(texts[lo:hi], k)[0])
             g, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
             often = n >= max(8, common / 2 * len(texts))
             yield pa.RecordBatch.from_arrays([pa.array(g[often].view(np.int64)), pa.array(n[often])], ["g", "n"])
@@ -108,7 +107,7 @@ def _sketch(g: np.ndarray, doc: np.ndarray, docs: int, sketches: int, salt: int)
         for d in have:
             x = g[doc == d]
             for j in range(sketches):
-                key = _mix(x ^ _mix(np.array([j * 7919 + salt + 1], np.uint64))[0]) >> _U(24)
+                key = x * (_mix(np.array([j * 7919 + salt + 1], np.uint64))[0] | _U(1)) >> _U(24)
                 one = int(key.argmin())
                 key[one] = np.iinfo(np.uint64).max
                 two = int(key.argmin()) if len(x) > 1 else one
@@ -119,8 +118,7 @@ def _sketch(g: np.ndarray, doc: np.ndarray, docs: int, sketches: int, salt: int)
     top = _U(np.iinfo(np.uint64).max)
     low = _U((1 << 24) - 1)
     for j in range(sketches):
-        key = _mix(g ^ _mix(np.array([j * 7919 + salt + 1], np.uint64))[0])
-        key = key & ~low | at
+        key = g * (_mix(np.array([j * 7919 + salt + 1], np.uint64))[0] | _U(1)) & ~low | at  # k-mers are hashes already
         one = (np.minimum.reduceat(key, begins) & low).astype(np.int64)
         key[one] = top
         least = np.minimum.reduceat(key, begins)
@@ -142,17 +140,20 @@ def sketch_records(df: DataFrame, keys: list[str], text: str, *, k: int, sketche
             for lo, hi in _chunks(texts):
                 m = hi - lo
                 g, doc = _shingles(texts[lo:hi], k)
-                order, first, gs, ds = _distinct(g, doc)
-                n = np.bincount(ds[first], minlength=m)
+                # One stable sort by text and k-mer together: first occurrences, and labels in text order.
+                both = _mix(g + doc.astype(np.uint64) * _M[1])
+                order = np.argsort(both, kind="stable")
+                new = np.ones(len(order), bool)
+                new[1:] = both[order][1:] != both[order][:-1]
+                label = np.empty(len(order), np.uint64)
+                label[order] = (np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))).astype(np.uint64)
+                first = label == 0
+                n = np.bincount(doc[first], minlength=m)
                 sig = np.zeros(m, np.uint64)
                 some = np.flatnonzero(n)
                 if len(some):
-                    sig[some] = np.add.reduceat(_mix(gs[first] + _M[0]), np.searchsorted(ds[first], some))
+                    sig[some] = np.add.reduceat(_mix(g[first] + _M[0]), np.searchsorted(doc[first], some))
                 sig = _mix(sig + n.astype(np.uint64) * _M[1]).view(np.int64)
-                # occurrence labels: number of earlier occurrences in the text (the sort is stable)
-                run_start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-                label = np.empty(len(order), np.uint64)
-                label[order] = (np.arange(len(order)) - run_start).astype(np.uint64)
                 kmer = _mix(g + label * _M[2])
                 rare = np.ones(len(g), bool)
                 if len(aside) and len(g):
