@@ -51,7 +51,8 @@ def best_of(score: np.ndarray, docs: np.ndarray, old_score: np.ndarray, old_docs
 
 @dataclass
 class TextIndex:
-    """``rows``: scope columns, doc_id, dl, terms, tfs; ``postings``: the same by term; ``stats``: scope, n, avgdl.
+    """``rows``: scope columns, doc_id, dl, terms, tfs; ``postings``: the same by term; ``stats``: scope, n, avgdl;
+    ``df``: scope, term, df.
 
     ``scope`` are the columns within which statistics are taken: none for the whole corpus, the
     shard for shard-local search.
@@ -60,6 +61,7 @@ class TextIndex:
     rows: DataFrame
     stats: DataFrame
     scope: list[str]
+    df: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -80,12 +82,14 @@ class TextIndex:
         stats = sized.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         postings = sized.select(*scope, "doc_id", "dl", F.explode("terms").alias("term")).groupBy(*scope, "doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
         rows = postings.groupBy(*scope, "doc_id", "dl").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
-        if persist:
-            rows, stats = materialise(rows, "index"), materialise(stats, "stats")
-        return cls(rows, stats, scope)
+        if not persist:
+            return cls(rows, stats, scope)
+        index = cls(materialise(rows, "index"), materialise(stats, "stats"), scope)
+        index.df = materialise(index.document_frequency(), "df")
+        return index
 
     def document_frequency(self) -> DataFrame:
-        return self.postings.groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
+        return self.df if self.df is not None else self.postings.groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
 
     def _with_stats(self, df: DataFrame) -> DataFrame:
         """``n`` and ``avgdl`` beside each row: constants for the whole corpus, one row a shard otherwise."""
@@ -102,17 +106,14 @@ class TextIndex:
     def _weights(self, queries: DataFrame, qid: str, query: str) -> DataFrame:
         """Scope, qid, term, weight (times, idf and the constant factor) and avgdl of every query term the index knows."""
         asked = queries.select(F.col(qid).alias("qid"), F.explode(tokens(query)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-        asked = materialise(asked, "asked")
-        wanted = small_side(asked.select("term").distinct(), asked.count(), 64)
-        df = self.postings.join(wanted, "term", "left_semi").groupBy(*self.scope, "term").agg(F.count("*").alias("df"))
-        known = self._with_stats(df)
+        known = self._with_stats(self.document_frequency())
         n, d = F.col("n"), F.col("df")
         weight = F.col("times") * F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5)) * (BM25_K1 + 1)
-        return materialise(known.join(asked, "term").select(*self.scope, "qid", "term", weight.alias("weight"), F.greatest("avgdl", F.lit(1e-9)).alias("avgdl")), "weighed")
+        return known.join(asked, "term").select(*self.scope, "qid", "term", weight.alias("weight"), F.greatest("avgdl", F.lit(1e-9)).alias("avgdl"))
 
     def scores(self, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
         """BM25 of every (query, document) with a common term; a repeated query term counts again."""
-        weighed, tf = self._weights(queries, qid, query), F.col("tf")
+        weighed, tf = materialise(self._weights(queries, qid, query), "weighed"), F.col("tf")
         hits = self.postings.join(small_side(weighed, weighed.count(), 96), [*self.scope, "term"])
         part = F.col("weight") * tf / (tf + BM25_K1 * (1 - BM25_B) + BM25_K1 * BM25_B * F.col("dl") / F.col("avgdl"))
         return hits.groupBy(*self.scope, "qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -125,14 +126,13 @@ class TextIndex:
         and not a row for each query and matching document, as ``scores`` does.
         """
         spark, scope = self.rows.sparkSession, self.scope
-        weighed = self._weights(queries, qid, query)
-        blocks = -(-weighed.select("qid").distinct().count() // (QUERY_BLOCK // 2))
+        blocks = -(-queries.count() // (QUERY_BLOCK // 2))
         kinds = {c: (queries.schema[qid] if c == "qid" else self.rows.schema[c]).dataType for c in (*scope, "qid", "doc_id")}
         schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds.items()) + ", score double"
         out = spark.createDataFrame([], schema)
         for block in range(blocks):
-            part = weighed.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else weighed
-            sent = spark.sparkContext.broadcast(_Weights(part.collect(), scope))
+            part = queries.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == block) if blocks > 1 else queries
+            sent = spark.sparkContext.broadcast(_Weights(self._weights(part, qid, query).collect(), scope))
             out = out.unionByName(self.rows.mapInArrow(_scorer(sent, scope, k), schema))
         r = rank([*scope, "qid"], [F.desc("score"), F.asc("doc_id")])
         return out.withColumn("rank", r).where(F.col("rank") <= k)
