@@ -16,6 +16,17 @@ from corpusloom.functions.dialect import Spark
 #: Results that survive the relevance stage.
 LIMIT = 5
 
+# Texts of reasons and answers.
+LOW_COVERAGE = "Relevant passages cover too little of the query."
+LOW_RELEVANCE = "Retrieved evidence has weak direct query relevance."
+LOW_AUTHORITY = "Sources are not sufficiently authoritative for this specific query."
+LOW_BOTH = "Direct relevance and topical authority are both too weak to support generation."
+FEW_SOURCES = "Evidence comes from fewer than two independent relevant sources."
+CONFLICT = "Potentially conflicting claims were detected across comparable relevant sources."
+CONSISTENT = "Comparable relevant sources provide mutually consistent support."
+DIFFERENT = "Relevant sources discuss different aspects, so cross-source agreement is limited."
+UNDERSPECIFIED = "The query is underspecified, so more context is required before making a recommendation."
+SUFFICIENT = "Relevant evidence has sufficient coverage, topical authority, and source diversity."
 NO_RESULT = "No retrieved result passed the minimum query-relevance threshold."
 NO_CLAIM = "Retrieved results matched the query, but none contained enough claim-level support to answer safely."
 NO_DEFINITION = "Retrieved passages mention the requested concept, but none directly define or explain it well enough to answer a definition query."
@@ -82,17 +93,17 @@ def steps(d: Spark) -> dict[str, str]:
             WHEN conflict THEN 'answer_with_caveat' WHEN strong THEN 'answer' WHEN confidence < 76e-2 OR coverage < 7e-1 OR relevance < 45e-2 OR independent < 2 THEN 'answer_with_caveat' ELSE 'answer' END AS decision FROM weighed""",
     }
     reasons = d.compact([
-        "CASE WHEN coverage < 5e-1 THEN 'Relevant passages cover too little of the query.' END",
-        "CASE WHEN relevance < 35e-2 THEN 'Retrieved evidence has weak direct query relevance.' END",
-        "CASE WHEN authority < 6e-1 THEN 'Sources are not sufficiently authoritative for this specific query.' END",
-        "CASE WHEN relevance < 35e-2 AND authority < 6e-1 THEN 'Direct relevance and topical authority are both too weak to support generation.' END",
-        "CASE WHEN independent < 2 AND NOT strong THEN 'Evidence comes from fewer than two independent relevant sources.' END",
-        "CASE WHEN conflict THEN 'Potentially conflicting claims were detected across comparable relevant sources.' WHEN agreement = 'agreement' THEN 'Comparable relevant sources provide mutually consistent support.' WHEN agreement = 'mixed' THEN 'Relevant sources discuss different aspects, so cross-source agreement is limited.' END",
+        f"CASE WHEN coverage < 5e-1 THEN '{LOW_COVERAGE}' END",
+        f"CASE WHEN relevance < 35e-2 THEN '{LOW_RELEVANCE}' END",
+        f"CASE WHEN authority < 6e-1 THEN '{LOW_AUTHORITY}' END",
+        f"CASE WHEN relevance < 35e-2 AND authority < 6e-1 THEN '{LOW_BOTH}' END",
+        f"CASE WHEN independent < 2 AND NOT strong THEN '{FEW_SOURCES}' END",
+        f"CASE WHEN conflict THEN '{CONFLICT}' WHEN agreement = 'agreement' THEN '{CONSISTENT}' WHEN agreement = 'mixed' THEN '{DIFFERENT}' END",
         "CASE WHEN candidates > results THEN concat('Discarded ', cast(candidates - results AS string), ' weak or lower-ranked retrieval candidates.') END",
-        "CASE WHEN underspecified THEN 'The query is underspecified, so more context is required before making a recommendation.' END",
+        f"CASE WHEN underspecified THEN '{UNDERSPECIFIED}' END",
     ])
     out["reasoned"] = f"""SELECT *, CASE WHEN results = 0 THEN CASE WHEN definition AND backed_results > 0 THEN '{NO_DEFINITION}' WHEN relevant_results > 0 THEN '{NO_CLAIM}' ELSE '{NO_RESULT}' END
-        ELSE coalesce(nullif({d.join(reasons, ' ')}, ''), 'Relevant evidence has sufficient coverage, topical authority, and source diversity.') END AS reasons FROM decided"""
+        ELSE coalesce(nullif({d.join(reasons, ' ')}, ''), '{SUFFICIENT}') END AS reasons FROM decided"""
     key = d.replace("lower(sentence)", d.space + "+", " ")
     out["unrepeated"] = f"""SELECT * FROM (SELECT s.qid, s.sentence, s.support, r.citation, s.pos, row_number() OVER (PARTITION BY s.qid, substring({key.replace('sentence', 's.sentence')}, 1, 140) ORDER BY s.support DESC, r.citation, s.pos) AS again
         FROM supporting s JOIN survivors r ON s.qid = r.qid AND s.doc_id = r.doc_id) x WHERE again = 1"""

@@ -14,7 +14,7 @@ from corpusloom.functions.constants import BM25_B, BM25_K1, LSA_FEATURES, RRF_K
 from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.operators import answers
 from corpusloom.operators.fusion import assemble, candidates, hybrid, merge_shards, rrf
-from corpusloom.operators.index import TextIndex, indexed_text, rank
+from corpusloom.operators.index import TextIndex, indexed_text
 from corpusloom.operators.semantic import LatentSpace, nearest, normalised
 from corpusloom.runtime import materialise, table
 
