@@ -76,15 +76,17 @@ class TextIndex:
         ``id`` must tell documents (of a scope) apart.
         """
         scope = list(scope or [])
-        # By document, so that counting its terms needs no further shuffle and scoring finds them side by side.
+        # By document, so that its terms are counted, and later scored, in one place.
         whole = docs.select(*scope, F.col(id).alias("doc_id"), F.expr(text or indexed_text()).alias("body")).repartition("doc_id")
-        sized = whole.select(*scope, "doc_id", tokens("body").alias("terms")).select(*scope, "doc_id", F.size("terms").alias("dl"), "terms")
-        stats = sized.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        postings = sized.select(*scope, "doc_id", "dl", F.explode("terms").alias("term")).groupBy(*scope, "doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        rows = postings.groupBy(*scope, "doc_id", "dl").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+        kept = whole.select(*scope, "doc_id", tokens("body").alias("terms"))
+        schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in (*scope, "doc_id")) + ", dl int, terms array<string>, tfs array<int>"
+        rows = kept.mapInArrow(_counter([*scope, "doc_id"]), schema)
+        if persist:
+            rows = materialise(rows, "index")
+        stats = rows.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         if not persist:
             return cls(rows, stats, scope)
-        index = cls(materialise(rows, "index"), materialise(stats, "stats"), scope)
+        index = cls(rows, materialise(stats, "stats"), scope)
         index.df = materialise(index.document_frequency(), "df")
         return index
 
@@ -138,6 +140,23 @@ class TextIndex:
         return out.withColumn("rank", r).where(F.col("rank") <= k)
 
 
+def _counter(keys: list[str]):
+    """Term counts of whole documents by batch: one sort of (document, term code) pairs, no row per token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("terms")
+            sizes = np.diff(col.offsets.to_numpy())
+            coded = col.flatten().dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            pairs, tf = np.unique(np.repeat(np.arange(b.num_rows), sizes) * many + coded.indices.to_numpy(), return_counts=True)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(pairs // many, minlength=b.num_rows)))).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(ends), coded.dictionary.take(pa.array(pairs % many)))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(sizes.astype(np.int32)), terms, pa.ListArray.from_arrays(pa.array(ends), pa.array(tf.astype(np.int32)))], [*keys, "dl", "terms", "tfs"])
+
+    return run
+
+
 class _Weights:
     """Weights of a block of queries by scope: query ids, terms, a dense matrix of queries by terms, and avgdl."""
 
