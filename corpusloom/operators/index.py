@@ -80,7 +80,7 @@ class TextIndex:
         whole = docs.select(*scope, F.col(id).alias("doc_id"), F.expr(text or indexed_text()).alias("body")).repartition("doc_id")
         kept = whole.select(*scope, "doc_id", tokens("body").alias("terms"))
         schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in (*scope, "doc_id")) + ", dl int, terms array<string>, tfs array<int>"
-        rows = kept.mapInArrow(_counter([*scope, "doc_id"]), schema)
+        rows = kept.mapInArrow(counter([*scope, "doc_id"]), schema)
         if persist:
             rows = materialise(rows, "index")
         stats = rows.groupBy(*scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -140,7 +140,7 @@ class TextIndex:
         return out.withColumn("rank", r).where(F.col("rank") <= k)
 
 
-def _counter(keys: list[str]):
+def counter(keys: list[str]):
     """Term counts of whole documents by batch: one sort of (document, term code) pairs, no row per token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

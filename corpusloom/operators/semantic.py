@@ -8,11 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.constants import LSA_DIMENSIONS, LSA_FEATURES
-from corpusloom.operators.index import TextIndex, best_of, rank
+from corpusloom.operators.index import TextIndex, best_of, counter, rank, tokens
 from corpusloom.runtime import materialise
 
 #: Queries scored together by one task; a block times the dimensions is all that is broadcast.
@@ -51,7 +52,7 @@ class LatentSpace:
         n = stats["n"] if stats else 0
         top["idf"] = np.log((1 + n) / (1 + top["df"].astype(float))) + 1
         vocabulary = top[["term", "col", "idf"]]
-        rows = cls._weights(spark, index.postings, vocabulary, "doc_id")
+        rows = cls._weights(index.rows, vocabulary, "doc_id")
         m = len(vocabulary)
 
         def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +80,25 @@ class LatentSpace:
         return space
 
     @staticmethod
-    def _weights(spark: SparkSession, postings: DataFrame, vocabulary: pd.DataFrame, key: str) -> DataFrame:
-        """Sparse tf-idf rows: term frequency is relative to all terms of the text, known or not."""
-        vocab = F.broadcast(spark.createDataFrame(vocabulary, "term string, col int, idf double"))  # at most ``features`` rows
-        cell = F.struct("col", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
-        return postings.join(vocab, "term").groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("c")).select(key, F.col("c.col").alias("cols"), F.col("c.w").alias("vals"))
+    def _weights(rows: DataFrame, vocabulary: pd.DataFrame, key: str) -> DataFrame:
+        """Sparse tf-idf of rows (key, dl, terms, tfs): term frequency is relative to all terms of the text, known or not."""
+        sent = rows.sparkSession.sparkContext.broadcast((list(vocabulary["term"]), vocabulary["idf"].to_numpy(float)))  # at most ``features`` terms
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, idf = sent.value
+            known_terms = pa.array(terms, pa.string())
+            for b in batches:
+                at = pc.fill_null(pc.index_in(b.column("terms").flatten(), value_set=known_terms), -1).to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(b.num_rows), np.diff(b.column("terms").offsets.to_numpy()))
+                tf, dl = b.column("tfs").flatten().to_numpy(), b.column("dl").to_numpy()
+                known = at >= 0
+                n = np.bincount(doc[known], minlength=b.num_rows)
+                some = np.flatnonzero(n)
+                ends = pa.array(np.concatenate(([0], np.cumsum(n[some]))).astype(np.int32))
+                vals = tf[known] / dl[doc[known]] * idf[at[known]] if len(idf) else np.empty(0)
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(at[known].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(vals))], [key, "cols", "vals"])
+
+        return rows.select(key, "dl", "terms", "tfs").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, cols array<int>, vals array<double>")
 
     def _project(self, spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
         basis, m = spark.sparkContext.broadcast(self.components), len(self.vocabulary)
@@ -99,11 +114,9 @@ class LatentSpace:
 
     def fold_in(self, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
         """Vectors of queries; none for a query without known terms."""
-        from corpusloom.operators.index import tokens
-
-        t = queries.select(F.col(qid).alias("qid"), tokens(query).alias("terms"))
-        counts = t.select("qid", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("qid", "dl", "term").agg(F.count("*").alias("tf"))
-        return self._project(queries.sparkSession, self._weights(queries.sparkSession, counts, self.vocabulary, "qid"), "qid")
+        t = queries.select(F.col(qid).alias("qid"), tokens(query).alias("terms")).where("terms IS NOT NULL")
+        rows = t.mapInArrow(counter(["qid"]), f"qid {t.schema['qid'].dataType.simpleString()}, dl int, terms array<string>, tfs array<int>")
+        return self._project(queries.sparkSession, self._weights(rows, self.vocabulary, "qid"), "qid")
 
     def search(self, queries: DataFrame, k: int, qid: str = "qid", query: str = "query") -> DataFrame:
         """The k nearest documents of each query; those without positive cosine are left out after the cut."""
