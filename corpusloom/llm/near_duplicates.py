@@ -1,11 +1,12 @@
 """Near-duplicate records by MinHash of pairs of k-mers.
 
-A record's k-mers are its runs of ``k`` words, labelled with their occurrence number.  Each of
+A record's k-mers are its distinct runs of ``k`` words, however often they stand in it.  Each of
 ``sketches`` random orders keeps the two least k-mers as a set, wherever they stand in the text, so a
 sketch agrees with probability near the squared similarity however the sections are arranged.  Before that,
 k-mers standing in more than ``common`` of all records (site furniture, found by lossy counting over every
 record, at most length / ``common`` of them) are set aside, so that furniture doesn't make candidates of
-all pairs of a site; records with more than ``1 - WHOLE`` of furniture are sketched with all their k-mers too.
+all pairs of a site; records with more than ``1 - WHOLE`` of furniture are sketched with all their k-mers too,
+of which ``PART`` sketches do for those with at most ``1 - MOSTLY``, whose pairs meet by the others as well.
 Candidates get a banded alignment, and the exact similarity of their k-mer sets decides.
 """
 
@@ -27,7 +28,8 @@ from corpusloom.runtime import materialise, small_side
 WORD = re.compile(r"[^\W_]+")
 CHUNK = 1_500_000  # characters handled at once
 STOP_LIMIT = 500_000  # set-aside k-mers that are broadcast; more would only be sketched again
-CONTENT, WHOLE = 0.4, 0.85  # from the first share of k-mers left on, a record is sketched with these; below the second with all
+CONTENT, MOSTLY, WHOLE = 0.4, 0.7, 0.85  # from the first share of k-mers left on, a record is sketched with these; below the last with all
+PART = 20  # sketches of all k-mers between MOSTLY and WHOLE
 _U = np.uint64
 _M = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -140,30 +142,30 @@ def sketch_records(df: DataFrame, keys: list[str], text: str, *, k: int, sketche
             for lo, hi in _chunks(texts):
                 m = hi - lo
                 g, doc = _shingles(texts[lo:hi], k)
-                # One stable sort by text and k-mer together: first occurrences, and labels in text order.
+                # One stable sort by text and k-mer together: first occurrences.
                 both = _mix(g + doc.astype(np.uint64) * _M[1])
                 order = np.argsort(both, kind="stable")
                 new = np.ones(len(order), bool)
                 new[1:] = both[order][1:] != both[order][:-1]
-                label = np.empty(len(order), np.uint64)
-                label[order] = (np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))).astype(np.uint64)
-                first = label == 0
-                n = np.bincount(doc[first], minlength=m)
+                first = np.empty(len(order), bool)
+                first[order] = new
+                g, doc = g[first], doc[first]
+                n = np.bincount(doc, minlength=m)
                 sig = np.zeros(m, np.uint64)
                 some = np.flatnonzero(n)
                 if len(some):
-                    sig[some] = np.add.reduceat(_mix(g[first] + _M[0]), np.searchsorted(doc[first], some))
+                    sig[some] = np.add.reduceat(_mix(g + _M[0]), np.searchsorted(doc, some))
                 sig = _mix(sig + n.astype(np.uint64) * _M[1]).view(np.int64)
-                kmer = _mix(g + label * _M[2])
                 rare = np.ones(len(g), bool)
                 if len(aside) and len(g):
                     pos = np.minimum(np.searchsorted(aside, g), len(aside) - 1)
                     rare = aside[pos] != g
-                share = np.bincount(doc[rare], minlength=m) / np.maximum(np.bincount(doc, minlength=m), 1)
+                share = np.bincount(doc[rare], minlength=m) / np.maximum(n, 1)
                 content = rare & (share >= CONTENT)[doc]
                 whole = (share < WHOLE)[doc]
-                a = _sketch(kmer[content], doc[content], m, sketches, 0)
-                b = _sketch(kmer[whole], doc[whole], m, sketches, 1_000_003)
+                a = _sketch(g[content], doc[content], m, sketches, 0)
+                b = _sketch(g[whole], doc[whole], m, sketches, 1_000_003)
+                b[share >= MOSTLY, PART:] = 0
                 rows = np.concatenate((a, b), 1)
                 size = (rows != 0).sum(1)
                 flat = rows[rows != 0].view(np.int64)

@@ -57,6 +57,15 @@ def test_order_of_sections_plays_no_part(spark):
     assert set(map(tuple, nd.pairs("id").collect())) == brute(rows, 3, 0.6) == {(f"{i}a", f"{i}b") for i in range(12)}
 
 
+def test_repeats_of_a_passage_play_no_part(spark):
+    r, rows = random.Random(5), []
+    for i in range(12):
+        passage = " ".join(f"w{r.randrange(10_000)}" for _ in range(200))
+        rows += [("s", f"{i}a", passage, 1, 1, "x"), ("s", f"{i}b", " ".join([passage] * 10), 1, 1, "x")]
+    nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), ["shard", "id"], "body", k=3, threshold=0.6)
+    assert set(map(tuple, nd.pairs("id").collect())) == brute(rows, 3, 0.6) == {(f"{i}a", f"{i}b") for i in range(12)}
+
+
 def test_empty_and_alone(spark):
     for rows in ([], [("s", "a", "one two three four five six", 1, 1, "x")]):
         nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), ["shard", "id"], "body")
