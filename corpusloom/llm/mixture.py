@@ -56,6 +56,11 @@ class Mixture:
     shares: DataFrame
 
 
+def short_sources(m: Mixture) -> DataFrame:
+    """``source`` of the targets that the mix missed although it used each of their documents as often as allowed, by the exact totals."""
+    return m.shares.where("used_tokens >= source_tokens * max_repeats AND unreachable").select("source")
+
+
 def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = 2048, shard_blocks: int = 4096, bucket_docs: int = 500_000, seed: int = 42, vocabulary: str | None = None) -> Mixture:
     """Mix ``documents`` (doc_id, text, source) to ``targets`` (source, target_share, max_repeats).
 

@@ -47,7 +47,7 @@ QUERIES = {
     "p5_found": lambda spark, d: _near(spark, d).pairs("document_id"),
     "p5_groups": lambda spark, d: _near(spark, d).groups("document_id"),
     "p6_ids": lambda spark, d: bpe.encode_corpus(table(spark, d, "documents")),
-    "p7_found": lambda spark, d: _mix(spark, d).shares.where("unreachable").select("source"),
+    "p7_found": lambda spark, d: mixture.short_sources(_mix(spark, d)),
     "p7_shares": lambda spark, d: _mix(spark, d).shares,
     "p7_uses": lambda spark, d: _mix(spark, d).uses,
     "p8_found": lambda spark, d: shared_spans.shared_spans(table(spark, d, "documents")),

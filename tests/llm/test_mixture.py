@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.llm.mixture import mix, permuted
+from corpusloom.llm.mixture import mix, permuted, short_sources
 
 T = "source string, target_share double, max_repeats int"
 D = "doc_id long, text string, source string, uses int, name string"
@@ -41,6 +41,13 @@ def test_unreachable_source_is_used_to_its_cap(spark):
     assert r["small"].unreachable and r["small"].used_tokens == 2 * r["small"].source_tokens and not r["big"].unreachable and r["big"].used_tokens == 0
 
 
+def test_short_sources_come_from_the_mix(spark):
+    t = spark.createDataFrame([("small", 0.9, 2), ("SMALL", 0.01, 1), ("big", 0.1, 3), ("none", 0.1, 4)], T)
+    found = short_sources(mix(docs(spark, 300), t, block_tokens=50))
+    assert {r.source for r in found.collect()} == {"small", "none"}
+    assert "block_at" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty(spark):
     t = spark.createDataFrame([("a", 1.0, 2)], T)
     m = mix(docs(spark, 0), t)
