@@ -1,9 +1,13 @@
 """Main content of page texts by minimum cut.
 
-A page's non-blank lines are the nodes of a graph.  A classifier gives each line the cost of either
-label, which become the capacities to source and sink; neighbouring lines, lines of one list and a list
-with its heading are joined by smoothness edges, as closeness in the page's tree would.  The maximum
-flow separates content from furniture.
+A page's non-blank lines are the nodes of a graph.  A classifier of words and shapes gives each line the
+cost of either label, which become the capacities to source and sink; smoothness edges join what stands
+together in the page: neighbouring lines, lines of one list, a list with its heading, a heading with the
+text under it.  The maximum flow separates content from furniture.
+
+Terminal and edge weights are learnt from a bounded sample of rows with weak labels: lines that their
+site repeats (counted over all rows), seed wordings, and the place in the page.  Seeds and repetition are
+no features, so a line is judged by what it has in common with labelled lines, and by its neighbours.
 """
 
 from __future__ import annotations
@@ -12,19 +16,26 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that the classifier is fitted on; the first by hash of the key.
-SAMPLE_ROWS = 3000
-HASHED = 1 << 13
-
-# Wordings of page furniture, by kind, matched without letter case at the start of a line
-# whose bullet is left out, its runs of white space made one blank.
-CUES = {
+#: Bounds of the sample that is fitted on: rows, by hash of the key, and bytes of a row that may be drawn.
+SAMPLE_ROWS, SAMPLE_ROW_BYTES = 3000, 32 << 10
+#: Rows of its site that a line must stand in to count as repeated.
+MIN_ROWS = 8
+HASHED = 1 << 16
+RARE = 20  # a word or pair of words that the sample has less often has no weight
+SURE = 2.0  # log odds from which a line is taken for furniture while edges are laid
+OPEN = 3.0  # log odds up to which a line may be the heading of the text under it
+
+# Seeds of the weak labels, by kind: wordings matched without letter case at the start of a line
+# whose bullet is left out, its runs of white space made one blank.  They label the sample and nothing else.
+SEEDS = {
     "skip": r"(?:skip|jump) to\b|back to top|menu close menu|loading\b.{0,60}\bwidgets|javascript is (?:off|disabled)|type / to search|text size\b|version:? \d+(?:\.\d+)* ?\(|(?:search|suche|buscar|rechercher) [^.]{0,60}…|zum inhalt|aller au contenu|ir al contenido|english \| deutsch",
     "consent": r"this (?:web)?site uses cookies|we use cookies|before you continue, .{0,60}cookies|by browsing .{0,60}cookies|your privacy matters|cookies on .{0,80}pages\b|our .{0,60}need your consent for cookies|.{0,60}and its \d+ partners|en .{0,40}usamos cookies|wir (?:von .{0,40})?verwenden cookies|.{0,40}utilise des cookies|nous utilisons des cookies|сайт .{0,40}использует файлы cookie|.{0,40}使用 cookie|.{0,60}(?:では|は).{0,60}cookie",
     "byline": r"by [^.]{3,60}, \d{4}-\d|author: |written by |posted (?:on )?\d|last edited|last updated|updated (?:on )?\d|published (?:on )?\d|filed under|reading time|page \d+ of \d+|.{3,60} \| .{3,40} staff \||zuletzt geändert|mis à jour|última edición|последнее изменение|最終更新|最后(?:编辑|更新)|обновлено|von .{3,60}, \d{4}-\d|par .{3,60}, \d{4}-\d|por .{3,60}, \d{4}-\d",
@@ -38,28 +49,29 @@ CUES = {
     "legal": r"©|\(c\) \d{4}|copyright (?:©|\(c\)|\d{4})|nothing on .{2,60} is advice|the .{2,120} (?:are|is a) (?:marks?|trademarks?) of|all .{2,80}content on this site|impressum\b|.{0,80}(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|все права защищены|無断転載|版权所有)|privacy policy|terms of (?:use|service)|legal notice",
     "crumbs": r"you are here|home »|home >|home /|docs > |startseite\b|inicio\b ?[|·»>/]|accueil\b ?[|·»>/]|главная\b|ホーム|首页|sie sind hier|vous êtes ici|estás en|вы здесь",
 }
-KINDS = list(CUES)
-CUE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in CUES.items()), re.I)
+KINDS = list(SEEDS)
+SEED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SEEDS.items()), re.I)
+TOKEN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+|[^\W\d_]+|\d+|[^\w\s]")
+WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 BULLET = re.compile(r"(?:[-*•»›·▪–—+]|\d{1,3}\))\s+")
 PART = re.compile(r"\s*[|•·/>»›–]\s*|\t+|\s{2,}")
 STOP = re.compile(r"[.!?:;。！？…।॥؟۔։።\"”»)]$")
 CODE = re.compile(r"[{}=;]|\w\(|^(?:def|return|for|if|while|class|import|let|var|const)\b|--\w|^\s{4}|_\w+:")
-WORD = re.compile(r"[^\W\d_]{2,}")
-
-SHAPES = ["one", "bullet_title", "bullet_text", "sentence", "long", "short", "menu", "many_parts", "code", "table", "upper", "after_related", "first_lines", "last_lines", "heading_like", "dangling", "listed"]
-# Prior means of the weights (positive: furniture); the fit moves them where the sample says so.
-PRIOR = dict.fromkeys(KINDS, 5.0) | {"one": -0.6, "bullet_title": 1.2, "bullet_text": -2.5, "sentence": -1.5, "long": -1.5, "short": 0.2, "menu": 3.5, "many_parts": 1.5, "code": -2.5, "table": -4.0, "upper": 0.0, "after_related": 2.0, "first_lines": 0.0, "last_lines": 0.3, "heading_like": -1.4, "dangling": 2.8, "listed": 2.6}
-FIELDS = KINDS + SHAPES
-INDEX = {k: i for i, k in enumerate(FIELDS)}
+NOT_ID = re.compile(r"[\s\x1c-\x1f0-9]+")
 
-
-BODY = {INDEX[f] for f in ("sentence", "bullet_text", "code", "table")}
+SHAPES = ["one", "bullet", "title", "item", "text", "bullet_text", "menu", "many_parts", "code", "table", "long", "middle", "short", "upper", "head", "tail", "top", "bottom", "gap_before", "gap_after"]
+SHAPE = {k: i for i, k in enumerate(SHAPES)}
+WORDS = len(SHAPES)
+EDGES = ["near", "gap", "heads", "own", "under", "list", "lists", "inner", "last", "head_item", "run_inner", "run_last", "run_item", "skip"]
+EDGE = {k: i for i, k in enumerate(EDGES)}
+OWN = (EDGE["heads"], EDGE["own"])
+BODY = ("text", "code", "table")
 
 
 def _menu(line: str) -> int:
-    """Number of short parts without sentence marks that a separator or wide blanks divide; 0 if it isn't such a line."""
+    """Number of parts that separators or wide blanks divide, if nearly all are short and of one or two words; else 0."""
     parts = [p for p in PART.split(line.strip()) if p]
-    if len(parts) < 3 or max(map(len, parts)) > 40:
+    if len(parts) < 3 or sum(len(p) <= 40 for p in parts) < 0.9 * len(parts):
         return 0
     return len(parts) if sum(len(p.split(" ")) <= 2 for p in parts) >= 0.8 * len(parts) else 0
 
@@ -70,163 +82,169 @@ def _cells(line: str) -> bool:
     return len(cells) > 2 and sum(" " in c.strip() or "_" in c for c in cells) * 2 >= len(cells)
 
 
+def tokens(line: str) -> list[str]:
+    """Words, signs and numbers (all as 0); scripts without blanks by pairs of characters."""
+    out = []
+    for w in TOKEN.findall(line.lower()):
+        if w[0].isdigit():
+            out.append("0")
+        elif len(w) > 2 and WIDE.match(w):
+            out += [w[i : i + 2] for i in range(len(w) - 1)]
+        else:
+            out.append(w)
+    return out
+
+
 class Line:
-    __slots__ = ("bullet", "fields", "gap", "kind", "no", "sentence", "words")
+    __slots__ = ("bullet", "gap", "kind", "no", "shapes", "tokens")
 
     def __init__(self, no: int, gap: bool):
-        self.no, self.gap, self.fields, self.kind, self.bullet, self.sentence, self.words = no, gap, [], "", "", False, ()
+        self.no, self.gap, self.shapes, self.bullet, self.kind, self.tokens = no, gap, [SHAPE["one"]], "", "", []
 
 
 def read_page(text: str | None) -> list[Line]:
-    """The non-blank lines of a page with their features."""
+    """The non-blank lines of a page: kind, words and shapes of each by itself, and its place in the page."""
     out: list[Line] = []
-    gap, related = False, False
+    gap = False
     for no, raw in enumerate((text or "").split("\n"), 1):
         line = " ".join(raw.split())
         if not line:
             gap = True
+            if out and out[-1].shapes[-1] != SHAPE["gap_after"]:
+                out[-1].shapes.append(SHAPE["gap_after"])
             continue
-        n, fields = Line(no, gap), [INDEX["one"]]
-        gap = False
+        n = Line(no, gap)
         m = BULLET.match(line)
         body = line[m.end() :] if m else line
+        shapes = ["gap_before"] if gap else []
+        gap = False
         if m:
             n.bullet = m[0].strip()[-1]
-        cue = CUE.match(body) or (CUE.match(line) if m else None)
-        n.sentence = bool(STOP.search(body)) or len(body) > 160
-        parts = 0 if len(line) > 400 or line[-1] in ".。" else _menu(raw)
-        code, table = len(line) < 200 and bool(CODE.search(raw)), line[0] == "|" and line.count("|") > 2 or _cells(raw)
-        if cue and not table:
-            n.kind = cue.lastgroup
-            fields.append(INDEX[n.kind])
-        if table:
-            fields.append(INDEX["table"])
-        elif parts and not cue:
-            fields.append(INDEX["menu"])
+            shapes.append("bullet")
+        parts = 0 if line[-1] in ".。" else _menu(raw)
+        if line[0] == "|" and line.count("|") > 2 or _cells(raw):
+            n.kind = "table"
+        elif parts:
+            n.kind = "menu"
             if parts >= 5:
-                fields.append(INDEX["many_parts"])
-        if code:
-            fields.append(INDEX["code"])
-        if m:
-            title = not n.sentence and not code and not table
-            fields.append(INDEX["bullet_title" if title else "bullet_text"])
-            if title and related and not cue:
-                fields.append(INDEX["after_related"])
-        elif not cue:
-            if n.sentence:
-                fields.append(INDEX["sentence"])
-            elif not parts and not code and not table:
-                fields.append(INDEX["heading_like"])
-        if not cue and not (m and not n.sentence):
-            related = related and bool(parts)
-        if n.kind == "related":
-            related = True
-        if len(body) > 120:
-            fields.append(INDEX["long"])
-        elif len(body) < 25:
-            fields.append(INDEX["short"])
+                shapes.append("many_parts")
+        elif len(line) < 200 and CODE.search(raw):
+            n.kind = "code"
+        elif STOP.search(body) or len(body) > 160:
+            n.kind = "text"
+        else:
+            n.kind = "item" if m else "title"
+        shapes += ["bullet_text" if m and n.kind == "text" else n.kind, "long" if len(body) > 120 else "short" if len(body) < 25 else "middle"]
         if line.isupper():
-            fields.append(INDEX["upper"])
-        n.fields, n.words = fields, WORD.findall(body.lower())
+            shapes.append("upper")
+        n.shapes += [SHAPE[s] for s in shapes]
+        n.tokens = tokens(body)
         out.append(n)
-    # A heading heads something: one in a list of related pages, or after all content of a page with such a list, doesn't.
-    text = [bool(BODY.intersection(n.fields)) and not n.kind for n in out]
-    first, last = (text.index(True), len(text) - 1 - text[::-1].index(True)) if any(text) else (len(out), len(out))
-    lists, listing = any(n.kind == "related" for n in out), False
-    for i, n in enumerate(out):
-        if INDEX["heading_like"] in n.fields:
-            if lists and first < i > last:
-                n.fields.append(INDEX["dangling"])
-            alone = i < first and not any(0 <= j < len(out) and INDEX["heading_like"] in out[j].fields for j in (i - 1, i + 1))
-            listing = listing and not alone and not (i + 1 < len(out) and text[i + 1])
-            if listing:
-                n.fields.append(INDEX["listed"])
-        else:
-            listing = n.kind == "related"
+    own = [i for i, n in enumerate(out) if n.kind in BODY]
+    first, last = (own[0], own[-1]) if own else (len(out), -1)
     for i, n in enumerate(out):
-        if i < 2:
-            n.fields.append(INDEX["first_lines"])
-        if i >= len(out) - 3:
-            n.fields.append(INDEX["last_lines"])
+        n.shapes += [SHAPE[s] for s, x in (("head", i < first), ("tail", i > last), ("top", i < 2), ("bottom", i >= len(out) - 3)) if x]
     return out
 
 
+def _marks(t: list[str]) -> list[str]:
+    """How a line begins and ends."""
+    return ["^" + t[0], "^" + " ".join(t[:2]), "^" + " ".join(t[:3]), t[-1] + "$"] if t else []
+
+
 def _slot(word: str) -> int:
-    h = 2166136261
-    for c in word:
-        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-    return h % HASHED
+    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return WORDS + h % HASHED
+
 
+@dataclass
+class Model:
+    """Weights of shapes and hashed words, scale and offset of their sum, and capacities of the edges by kind."""
 
-class Classifier:
-    """Logistic regression with prior means on the listed features and zero on hashed words."""
+    weights: np.ndarray
+    scale: float
+    offset: float
+    edges: np.ndarray
 
-    def __init__(self, weights: np.ndarray | None = None):
-        self.weights = np.array([*(PRIOR[f] for f in FIELDS), *np.zeros(HASHED)]) if weights is None else weights
-        self._words: dict[str, float] = {}
+    def __post_init__(self):
+        self._one: dict[str, float] = {}
+        self._two: dict[tuple[str, str], float] = {}
+
+    def _word(self, w: str) -> float:
+        v = self._one.get(w)
+        if v is None:
+            if len(self._one) > 500_000:
+                self._one.clear()
+            v = self._one[w] = float(self.weights[_slot(w)])
+        return v
 
-    def word(self, w: str) -> float:
-        v = self._words.get(w)
+    def _pair(self, p: tuple[str, str]) -> float:
+        v = self._two.get(p)
         if v is None:
-            if len(self._words) > 300_000:
-                self._words.clear()
-            v = self._words[w] = float(self.weights[len(FIELDS) + _slot(w)])
+            if len(self._two) > 500_000:
+                self._two.clear()
+            v = self._two[p] = float(self.weights[_slot(" ".join(p))])
         return v
 
     def score(self, n: Line) -> float:
-        """Log odds of furniture; words share their weight by the root of their number."""
-        z = sum(self.weights[f] for f in n.fields)
-        if n.words:
-            z += sum(map(self.word, n.words)) / math.sqrt(len(n.words))
-        return float(z)
-
-    def fit(self, pages: list[list[Line]], labels: list[list[int | None]], steps: int = 80, rate: float = 20.0, prior: float = 1e-3) -> "Classifier":
-        """Maximum a posteriori by gradient steps; lines labelled None are left out."""
-        rows, cols, vals, y = [], [], [], []
-        for page, lab in zip(pages, labels):
-            for n, t in zip(page, lab):
-                if t is None:
-                    continue
-                r = len(y)
-                y.append(t)
-                rows += [r] * len(n.fields)
-                cols += n.fields
-                vals += [1.0] * len(n.fields)
-                if n.words:
-                    rows += [r] * len(n.words)
-                    cols += [len(FIELDS) + _slot(w) for w in n.words]
-                    vals += [1 / math.sqrt(len(n.words))] * len(n.words)
-        if not y:
-            return self
-        r, c, v, t = np.array(rows), np.array(cols), np.array(vals), np.array(y, float)
-        balance = np.where(t > 0, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))
-        mean, w = self.weights.copy(), self.weights.copy()
-        for _ in range(steps):
-            z = np.clip(np.bincount(r, v * w[c], len(t)), -30, 30)
-            g = np.bincount(c, v * ((1 / (1 + np.exp(-z)) - t) * balance)[r], len(w))
-            w -= rate * (g + prior * (w - mean))
-        return Classifier(w)
-
-
-def _edges(lines: list[Line]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: next line, next but one, items of a list, and a list with its heading."""
-    out = []
-    head = None
+        """Log odds of furniture by the line itself; words and pairs share their weight by the root of their number."""
+        t = n.tokens
+        z = float(self.weights[n.shapes].sum()) + sum(map(self._word, _marks(t)))
+        if t:
+            z += (sum(map(self._word, t)) + sum(map(self._pair, zip(t, t[1:])))) / math.sqrt(2 * len(t) - 1)
+        return z
+
+    def terminals(self, lines: list[Line]) -> tuple[list[float], list[tuple[int, int, float]]]:
+        """Capacities of a page's graph: to source (above 0) or sink (below) of each line, and of the edges."""
+        scores = [self.score(n) for n in lines]
+        return [self.scale * z + self.offset for z in scores], [(a, b, float(self.edges[k])) for a, b, k in laid(lines, scores) if self.edges[k] > 0]
+
+
+def laid(lines: list[Line], scores: list[float]) -> list[tuple[int, int, int]]:
+    """Smoothness edges and their kinds.
+
+    ``near``, ``gap``: next lines, a blank line between or not; ``list``, ``lists``: next items under one
+    bullet, alike or not; ``skip``: items with one line between; ``inner``, ``last``: next titles, the later
+    followed by text or not; ``head_item``: a title and an item; ``heads``: a title and the text below;
+    ``own``: a title and the first text beyond furniture; ``under``: text and a title below; ``run_...``: a
+    line sure to be furniture and the titles and items that follow it.  Such a line begins something new,
+    so nothing joins it to a title before it.
+    """
+    out: list[tuple[int, int, int]] = []
+    size, below, under, head = len(lines), None, [None] * len(lines), None
+    for i in range(size - 1, -1, -1):
+        under[i] = below
+        if lines[i].kind in BODY and scores[i] < 0:
+            below = i
     for i, n in enumerate(lines):
-        if i + 1 < len(lines):
+        sure = scores[i] > SURE and not n.bullet and n.kind in ("title", "text")
+        before_text = i + 1 < size and lines[i + 1].kind in BODY
+        if i + 1 < size:
             m = lines[i + 1]
-            same = n.bullet and n.bullet == m.bullet
-            like = same and n.sentence == m.sentence
-            out.append((i, i + 1, 1.6 if like else 0.6 if same else 0.15 if m.gap else 0.25))
-        if i + 2 < len(lines) and n.bullet and n.bullet == lines[i + 2].bullet and n.sentence == lines[i + 2].sentence:
-            out.append((i, i + 2, 0.8))
-        if n.kind == "related":
+            if n.bullet and n.bullet == m.bullet:
+                k = "list" if n.kind == m.kind else "lists"
+            elif n.kind == m.kind == "title":
+                k = "" if scores[i + 1] > SURE else "last" if i + 2 < size and lines[i + 2].kind in BODY else "inner"
+            elif n.kind == "title" and m.kind == "item":
+                k = "head_item"
+            elif n.kind == "title" and m.kind in BODY:
+                k = "heads" if scores[i] < OPEN else ""
+            elif n.kind in BODY and m.kind == "title":
+                k = "under"
+            else:
+                k = "gap" if m.gap else "near"
+            if k:
+                out.append((i, i + 1, EDGE[k]))
+        if i + 2 < size and n.kind == lines[i + 2].kind == "item" and n.bullet == lines[i + 2].bullet:
+            out.append((i, i + 2, EDGE["skip"]))
+        if n.kind == "title" and head is None and under[i] is not None and under[i] > i + 1:
+            out.append((i, under[i], EDGE["own"]))
+        if n.kind in ("title", "item") and head is not None and not sure:
+            out.append((head, i, EDGE["run_item" if n.kind == "item" else "run_last" if before_text else "run_inner"]))
+        if n.kind in BODY and scores[i] < 0:
+            head = None
+        elif sure:
             head = i
-        elif head is not None:
-            if n.bullet and not n.sentence:
-                out.append((head, i, 1.5))
-            elif not n.kind:
-                head = None
     return out
 
 
@@ -287,63 +305,235 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
     return side
 
 
-def weak_labels(pages: list[list[Line]], repeated: list[set[int]]) -> list[list[int | None]]:
-    """1 for lines with a cue or repeated by their site, 0 for long prose, code and tables without either, else None."""
-    out = []
-    for page, rep in zip(pages, repeated):
-        lab: list[int | None] = []
-        for n in page:
-            f = set(n.fields)
-            if n.kind or n.no in rep:
-                lab.append(1)
-            elif INDEX["long"] in f and n.sentence or INDEX["code"] in f or INDEX["table"] in f or INDEX["bullet_text"] in f:
-                lab.append(0)
-            else:
-                lab.append(None)
-        out.append(lab)
+def _seed(line: str) -> str | None:
+    """Kind of the seed that a line begins with."""
+    line = " ".join(line.split())
+    m = BULLET.match(line)
+    got = SEED.match(line[m.end() :] if m else line) or (SEED.match(line) if m else None)
+    return got.lastgroup if got else None
+
+
+def weak_labels(page: list[Line], text: str, repeated: set[int]) -> list[int | None]:
+    """1: furniture, 0: content, None: unknown.
+
+    Furniture are lines that the site repeats or a seed begins, what isn't text after all text of the
+    page, and the titles listed after a seed of related pages.  Content are text, code and tables
+    without either, the titles above them, and a page's first titles.  A repeated title above text may be
+    a heading that many pages of the site have.
+    """
+    raw, out, listing = text.split("\n"), [], False
+    for i, n in enumerate(page):
+        seed = None if n.kind == "table" else _seed(raw[n.no - 1])
+        body = n.kind in BODY
+        above = n.kind == "title" and i + 1 < len(page) and page[i + 1].kind in BODY
+        if seed or n.no in repeated and not above or not body and SHAPE["tail"] in n.shapes:
+            out.append(1)
+        elif n.no in repeated:
+            out.append(None)
+        elif body or above:
+            out.append(0)
+        elif listing:
+            out.append(1)
+        elif n.kind == "title" and SHAPE["head"] in n.shapes:
+            out.append(0)
+        else:
+            out.append(None)
+        if seed:
+            listing = seed == "related" or listing and seed != "byline"
+        elif n.kind not in ("item", "menu") and out[-1] != 1:
+            listing = False
     return out
 
 
-def fit_classifier(texts: list[str | None], sites: list[str | None], min_rows: int = 8) -> Classifier:
-    """Fit on a bounded sample: cues and lines that many sampled rows of a site share are furniture, long prose is content."""
-    digits = re.compile(r"[\s0-9]+")
-    count: dict[tuple, int] = {}
-    keyed = []
-    for t, s in zip(texts, sites):
-        ids = [(s, k) if (k := digits.sub("", x).lower()) else None for x in (t or "").split("\n")]
-        keyed.append(ids)
-        for k in set(ids):
-            count[k] = count.get(k, 0) + 1
-    repeated = [{i for i, k in enumerate(ids, 1) if k and k[0] and count[k] >= min_rows} for ids in keyed]
-    pages = [read_page(t) for t in texts]
-    return Classifier().fit(pages, weak_labels(pages, repeated))
+class _Design:
+    """Lines of pages as rows of a sparse matrix of shapes and hashed words."""
+
+    def __init__(self, pages: list[list[Line]]):
+        at, rows, cols, vals = 0, [], [], []
+        slots: dict[str, int] = {}
+        for page in pages:
+            for n in page:
+                t = n.tokens
+                words = [*t, *map(" ".join, zip(t, t[1:]))]
+                for w in (*words, *_marks(t)):
+                    if w not in slots:
+                        slots[w] = _slot(w)
+                many = len(n.shapes) + len(words) + (4 if t else 0)
+                rows.append(np.full(many, at))
+                cols += [*n.shapes, *(slots[w] for w in words), *(slots[w] for w in _marks(t))]
+                vals.append(np.concatenate((np.ones(len(n.shapes)), np.full(len(words), 1 / math.sqrt(max(1, len(words)))), np.ones(4 if t else 0))))
+                at += 1
+        self.size = at
+        self.rows, self.cols, self.vals = (np.concatenate(rows), np.array(cols, np.int64), np.concatenate(vals)) if at else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.vals * w[self.cols], self.size)
+
+
+def _adam(gradient, w: np.ndarray, steps: int, rate: float, floor: np.ndarray) -> np.ndarray:
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for k in range(1, steps + 1):
+        g = gradient(w)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = np.maximum(floor, w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9))
+    return w
+
+
+def _logistic(x: _Design, y: np.ndarray, use: np.ndarray, edges: tuple | None = None, steps: int = 60, rate: float = 0.25, prior: float = 1e-5) -> np.ndarray:
+    """Weights of words and shapes, then of the edges given as (row, kind, label of the other end), for the rows ``use``.
+
+    Both labels count by the root of their number.  Edge weights are not negative.
+    """
+    base = WORDS + HASHED
+    keep = use[x.rows]
+    r, c, v = x.rows[keep], x.cols[keep], x.vals[keep]
+    often = (np.bincount(c, minlength=base)[c] >= RARE) | (c < WORDS)
+    r, c, v = r[often], c[often], v[often]
+    if edges is not None:
+        on = use[edges[0]]
+        r, c, v = np.concatenate((r, edges[0][on])), np.concatenate((c, base + edges[1][on])), np.concatenate((v, edges[2][on]))
+    cells = np.flatnonzero(np.bincount(c))
+    place = np.zeros(base + len(EDGES), np.int64)
+    place[cells] = np.arange(len(cells))
+    at, t = place[c], np.where(use, y, 0.0)
+    ones, all_ = max(1.0, t.sum()), max(1, int(use.sum()))
+    weight = np.where(t > 0, math.sqrt(all_ / ones), math.sqrt(all_ / max(1.0, all_ - ones))) * use
+    weight /= max(1e-9, weight.sum())
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        z = np.clip(np.bincount(r, v * w[at], x.size), -30, 30)
+        return np.bincount(at, v * ((1 / (1 + np.exp(-z)) - t) * weight)[r], len(cells)) + prior * w
+
+    out = np.zeros(base + len(EDGES))
+    out[cells] = _adam(gradient, np.zeros(len(cells)), steps, rate, np.where(cells < base, -np.inf, 0.0))
+    return out
 
 
-def furniture(model: Classifier, text: str | None) -> list[int]:
+def fit_model(texts: list[str | None], sites: list[str | None], repeated: list[set[int]]) -> Model:
+    """Model of a sample with weak labels.
+
+    Terminal weights are fitted together with the edges between titles and their text.  Scale, offset and
+    the other edges follow by pseudo-likelihood of each label given its neighbours', with scores of
+    models that were fitted on the other half of the sites.  Without labels of both kinds nothing is furniture.
+    """
+    pages = [read_page(t) for t in texts]
+    label = [x for p, t, r in zip(pages, texts, repeated) for x in weak_labels(p, t or "", r)]
+    known = np.array([x is not None for x in label], bool)
+    y = np.array([x or 0 for x in label], float)
+    base = WORDS + HASHED
+    if not (y[known] > 0).any() or not (y[known] == 0).any():
+        return Model(np.zeros(base), 1.0, -1.0, np.zeros(len(EDGES)))
+    x = _Design(pages)
+    sizes = np.array([len(p) for p in pages])
+    starts = np.cumsum(sizes) - sizes
+    half = np.repeat(np.array([xxhash.xxh3_64_intdigest((s or "").encode("utf-8", "surrogatepass")) & 1 for s in sites]), sizes)
+
+    def edges(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both directions of every edge as (row, kind, label of the other end, by its score where unknown); own edges from titles only."""
+        soft = np.where(known, 2 * y - 1, np.tanh(z / 2))
+        a, b, k = [], [], []
+        for page, lo in zip(pages, starts.tolist()):
+            for i, j, kind in laid(page, z[lo : lo + len(page)].tolist()):
+                a.append(lo + i), b.append(lo + j), k.append(kind)
+                if kind not in OWN:
+                    a.append(lo + j), b.append(lo + i), k.append(kind)
+        return np.array(a, np.int64), np.array(k, np.int64), soft[np.array(b, np.int64)]
+
+    def held_out(e: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of each row by the model of the other half; the model's edges of titles."""
+        z, own = np.zeros(x.size), np.zeros(len(EDGES))
+        for h in (0, 1):
+            w = _logistic(x, y, known & (half == h), e)
+            z = np.where(half != h, x.scores(w), z)
+            own += w[base:] / 2
+        return z, own
+
+    def own_of(e: tuple) -> tuple:
+        on = np.isin(e[1], OWN)
+        return tuple(part[on] for part in e)
+
+    if not all((known & (half == h) & (y == v)).any() for h in (0, 1) for v in (0, 1)):  # one site alone: halves by page
+        half = np.repeat(np.arange(len(pages)) & 1, sizes)
+    z, _ = held_out(None)
+    first = own_of(edges(z))
+    z, own = held_out(first)
+    w = _logistic(x, y, known, first)
+
+    rows, kinds, ends = edges(z)
+    mine = np.isin(kinds, OWN)
+    z = z + np.bincount(rows[mine], own[kinds[mine]] * ends[mine], x.size)
+    on = known[rows] & ~mine
+    rows, kinds, ends, n = rows[on], kinds[on], ends[on], known.sum()
+
+    def gradient(v: np.ndarray) -> np.ndarray:
+        q = np.clip(v[-2] * z + v[-1] + np.bincount(rows, v[kinds] * ends, x.size), -30, 30)
+        e = np.where(known, 1 / (1 + np.exp(-q)) - y, 0.0) / n
+        return np.concatenate((np.bincount(kinds, ends * e[rows], len(EDGES)), [e @ z, e.sum()]))
+
+    v = _adam(gradient, np.array([*np.full(len(EDGES), 0.3), 0.5, 0.0]), 250, 0.05, np.array([*np.zeros(len(EDGES)), 0.05, -np.inf]))
+    capacity = v[: len(EDGES)].copy()
+    capacity[list(OWN)] = v[-2] * w[base:][list(OWN)]
+    return Model(w[:base], float(v[-2]), float(v[-1]), capacity)
+
+
+def furniture(model: Model, text: str | None) -> list[int]:
     """Line numbers of a page's furniture."""
     lines = read_page(text)
-    if not lines:
+    return [n.no for n, x in zip(lines, min_cut(*model.terminals(lines))) if x] if lines else []
+
+
+def _line_ids(text: str | None, site: str | None) -> list[int | None]:
+    """Identifier of each line within its site, without white space, digits and letter case; None without a site or when nothing is left."""
+    if site is None:
         return []
-    side = min_cut([model.score(n) for n in lines], _edges(lines))
-    return [n.no for n, x in zip(lines, side) if x]
+    return [xxhash.xxh3_64_intdigest(f"{site}\n{k}".encode("utf-8", "surrogatepass")) if (k := NOT_ID.sub("", x).lower()) else None for x in (text or "").split("\n")]
 
 
-def furniture_lines(df: DataFrame, keys: list[str], text: str, site: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``keys`` and ``line_no`` (from 1) of every non-blank line that isn't the page's own content.
+def _repeated(df: DataFrame, text: str, site: str, sample: list[tuple[str | None, str | None]], min_rows: int) -> list[set[int]]:
+    """Of each sampled row, the numbers of the lines that stand in ``min_rows`` rows of its site, counted over all rows.
 
-    The classifier is fitted on at most ``sample_rows`` rows; every row is labelled, with all its
-    lines.  Null and empty texts have no lines; a null site shares no lines with others.
+    The sample's identifiers, bounded as it is, go to the tasks; each sends one count per identifier.
     """
-    # A threshold on the hash of the key, so that tasks send the sampled rows alone, in no more than the bound.
+    ids = [_line_ids(t, s) for t, s in sample]
+    sent = df.sparkSession.sparkContext.broadcast(frozenset(i for x in ids for i in x if i is not None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, count = sent.value, {}
+        for batch in batches:
+            for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i in wanted.intersection(_line_ids(t, s)):
+                    count[i] = count.get(i, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(count, np.uint64, len(count)).view(np.int64)), pa.array(count.values(), pa.int64())], ["id", "n"])
+
+    counts = df.select(F.col(text), F.col(site)).where(F.col(site).isNotNull()).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_rows)
+    often = {r["id"] & (1 << 64) - 1 for r in counts.select("id").collect()}  # no more than the sample's lines
+    return [{no for no, i in enumerate(x, 1) if i in often} for x in ids]
+
+
+def fitted(df: DataFrame, keys: list[str], text: str, site: str, sample_rows: int = SAMPLE_ROWS, sample_row_bytes: int = SAMPLE_ROW_BYTES, min_rows: int = MIN_ROWS) -> Model:
+    """Model of at most ``sample_rows`` rows of at most ``sample_row_bytes``, drawn by the hash of their keys."""
+    # A threshold on the hash, so that tasks send the sampled rows alone.
     share = min(1.0, 0.9 * sample_rows / max(1, df.count()))
     order = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
-    sample = df.where(order < int(share * (1 << 30))).select(F.col(text).alias("t"), F.col(site).alias("s"), order.alias("o")).limit(sample_rows).collect()
-    sample.sort(key=lambda r: r["o"])
-    weights = df.sparkSession.sparkContext.broadcast(fit_classifier([r["t"] for r in sample], [r["s"] for r in sample]).weights)
+    drawn = df.where((order < int(share * (1 << 30))) & (F.octet_length(text) <= sample_row_bytes))
+    sample = drawn.select(F.col(text).alias("t"), F.col(site).alias("s"), order.alias("o")).limit(sample_rows).collect()
+    sample.sort(key=lambda r: (r["o"], r["t"], r["s"] or ""))
+    rows = [(r["t"], r["s"]) for r in sample]
+    return fit_model([t for t, _ in rows], [s for _, s in rows], _repeated(df, text, site, rows, min_rows) if rows else [])
+
+
+def furniture_lines(df: DataFrame, keys: list[str], text: str, site: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``keys`` and ``line_no`` (from 1) of every non-blank line that isn't the page's own content.
+
+    The model is fitted on a bounded sample (``fitted``); every row is labelled, with all its lines.
+    Null and empty texts have no lines; a null site shares no lines with others; other columns are dropped.
+    """
+    model = fitted(df, keys, text, site, sample_rows)
+    sent = df.sparkSession.sparkContext.broadcast((model.weights, model.scale, model.offset, model.edges))
     d = df.select(*keys, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(weights.value)
+        model = Model(*sent.value)
         for batch in batches:
             got = [furniture(model, t) for t in batch.column("__text").to_pylist()]
             row = np.repeat(np.arange(len(got)), [len(g) for g in got])
