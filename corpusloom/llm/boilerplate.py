@@ -53,6 +53,7 @@ KINDS = list(SEEDS)
 SEED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SEEDS.items()), re.I)
 TOKEN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+|[^\W\d_]+|\d+|[^\w\s]")
 WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+NUMBER = re.compile(r"\d+")
 BULLET = re.compile(r"(?:[-*•»›·▪–—+]|\d{1,3}\))\s+")
 PART = re.compile(r"\s*[|•·/>»›–]\s*|\t+|\s{2,}")
 STOP = re.compile(r"[.!?:;。！？…।॥؟۔։።\"”»)]$")
@@ -84,11 +85,12 @@ def _cells(line: str) -> bool:
 
 def tokens(line: str) -> list[str]:
     """Words, signs and numbers (all as 0); scripts without blanks by pairs of characters."""
+    found = TOKEN.findall(NUMBER.sub("0", line.lower()))
+    if line.isascii() or not WIDE.search(line):
+        return found
     out = []
-    for w in TOKEN.findall(line.lower()):
-        if w[0].isdigit():
-            out.append("0")
-        elif len(w) > 2 and WIDE.match(w):
+    for w in found:
+        if len(w) > 2 and WIDE.match(w):
             out += [w[i : i + 2] for i in range(len(w) - 1)]
         else:
             out.append(w)
@@ -157,6 +159,20 @@ def _slot(word: str) -> int:
     return WORDS + h % HASHED
 
 
+class _Weights(dict):
+    """Weights of words or pairs of words, looked up once while there are not too many."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, w: str | tuple[str, str]) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = v = float(self.weights[_slot(w if isinstance(w, str) else " ".join(w))])
+        return v
+
+
 @dataclass
 class Model:
     """Weights of shapes and hashed words, scale and offset of their sum, and capacities of the edges by kind."""
@@ -167,31 +183,14 @@ class Model:
     edges: np.ndarray
 
     def __post_init__(self):
-        self._one: dict[str, float] = {}
-        self._two: dict[tuple[str, str], float] = {}
-
-    def _word(self, w: str) -> float:
-        v = self._one.get(w)
-        if v is None:
-            if len(self._one) > 500_000:
-                self._one.clear()
-            v = self._one[w] = float(self.weights[_slot(w)])
-        return v
-
-    def _pair(self, p: tuple[str, str]) -> float:
-        v = self._two.get(p)
-        if v is None:
-            if len(self._two) > 500_000:
-                self._two.clear()
-            v = self._two[p] = float(self.weights[_slot(" ".join(p))])
-        return v
+        self._shapes, self._words = self.weights[:WORDS].tolist(), _Weights(self.weights)
 
     def score(self, n: Line) -> float:
         """Log odds of furniture by the line itself; words and pairs share their weight by the root of their number."""
-        t = n.tokens
-        z = float(self.weights[n.shapes].sum()) + sum(map(self._word, _marks(t)))
+        t, of = n.tokens, self._words.__getitem__
+        z = sum(map(self._shapes.__getitem__, n.shapes)) + sum(map(of, _marks(t)))
         if t:
-            z += (sum(map(self._word, t)) + sum(map(self._pair, zip(t, t[1:])))) / math.sqrt(2 * len(t) - 1)
+            z += (sum(map(of, t)) + sum(map(of, zip(t, t[1:])))) / math.sqrt(2 * len(t) - 1)
         return z
 
     def terminals(self, lines: list[Line]) -> tuple[list[float], list[tuple[int, int, float]]]:
