@@ -44,6 +44,7 @@ QUERIES = {
     "p3_found": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text").where(F.col("n_chars") > splitting.LIMIT).select(*KEY),
     "p3_lengths": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text"),
     "p3_pieces": lambda spark, d: splitting.split_pieces(both_texts(spark, d), KEY, "text"),
+    "p3_ranged": lambda spark, d: splitting.split_pieces(both_texts(spark, d), KEY, "text", range_bytes=8192),
     "p5_found": lambda spark, d: _near(spark, d).pairs("document_id"),
     "p5_groups": lambda spark, d: _near(spark, d).groups("document_id"),
     "p6_ids": lambda spark, d: bpe.encode_corpus(table(spark, d, "documents")),

@@ -1,9 +1,11 @@
 """Splitting oversized texts at natural boundaries, by byte ranges.
 
-Texts (or whole files) are seen as byte ranges with halos.  Each range finds the boundaries in its
-bytes, and the first good boundary at or after its two ends, which lie in its halos, so neighbouring
-ranges agree on the section each of them cuts.  The table of section lengths is stitched by prefix
-sums, and pieces get their offsets in the whole text without any task loading it.
+Texts (or whole files) are seen as byte ranges with halos.  Each range finds the boundaries in its bytes
+and follows the cuts from every place where a first piece of it may begin, which gives a table: from the
+first start in this range to the first start in the next, and the pieces between.  The tables are stitched
+along the text, prefix sums of their lengths and pieces place each range, and each range emits its pieces
+by offset.  A table holds all that may come from the left, so the pieces are those of the whole text,
+however long the ranges are.
 """
 
 from __future__ import annotations
@@ -11,13 +13,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import materialise
+
 LIMIT, OVERLAP = 1800, 220
-RANGE_BYTES, HALO_BYTES = 1 << 20, 1 << 14
+RANGE_BYTES = 1 << 20
+LEFT_BYTES = 1 << 10  # bytes before a range that tell what its first boundaries come after; a longer run of blanks counts as this much
+BLOCK = 512  # tables that are stitched together before their blocks are
 PIECES = "piece_no int, start_char long, end_char long, piece string"
+TABLE = "range_no int, chars long, solid long, gaps long, exits array<int>, counts array<int>"
+RANGE = "range_no int, left int, size int, first boolean, last boolean, reaches boolean, data binary"
 #: The white space of Unicode as UTF-8, by length in bytes.
 _WHITE1 = np.zeros(256, bool)
 _WHITE1[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -63,118 +72,212 @@ def boundaries(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, after, np.where(breaks > 1, 4, np.where(breaks == 1, 3, np.where(ends, 2, 1))).astype(np.int8)
 
 
-def cuts(lo: int, hi: int, pos: np.ndarray, strength: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces of the characters lo..hi: at most ``limit`` long, each from up to ``overlap`` before its predecessor's end."""
-    out, start = [], lo
-    while hi - start > limit:
-        a, z = np.searchsorted(pos, (start + limit // 2, start + limit + 1))
-        if z > a:
-            s = strength[a:z]
-            end = int(pos[a + len(s) - 1 - int(np.argmax(s[::-1]))])
-        else:
-            a = np.searchsorted(pos, start + overlap + 1)
-            end = int(pos[z - 1]) if z > a else start + limit
-        out.append((start, end))
-        a, z = np.searchsorted(pos, (max(end - overlap, start + 1), end))
-        start = int(pos[a]) if z > a else end
-    out.append((start, hi))
-    return out
+def next_piece(start: int, end: int, pos: np.ndarray, strength: np.ndarray, limit: int, overlap: int) -> tuple[int, int]:
+    """End of the piece that begins at ``start``, and where the next one begins; -1 after the piece that ends the text at ``end``."""
+    if end - start <= limit:
+        return end, -1
+    a, z = np.searchsorted(pos, (start + limit // 2, start + limit + 1))
+    if z > a:
+        s = strength[a:z]
+        cut = int(pos[a + len(s) - 1 - int(np.argmax(s[::-1]))])
+    else:
+        a = np.searchsorted(pos, start + overlap + 1)
+        cut = int(pos[z - 1]) if z > a else start + limit
+    a, z = np.searchsorted(pos, (max(cut - overlap, start + 1), cut))
+    return cut, int(pos[a]) if z > a else cut
+
+
+class Section:
+    """The characters of one range: ``data`` has ``left`` bytes of halo before its ``size`` bytes and a halo behind."""
+
+    def __init__(self, data: bytes, left: int, size: int, reaches: bool, limit: int, overlap: int):
+        self.data, self.limit, self.overlap = data, limit, overlap
+        self.at, self.pos, self.strength = boundaries(np.frombuffer(data, np.uint8))
+        self.edge = np.append(self.at, len(data))
+        self.lo, self.hi = (int(x) for x in np.searchsorted(self.at, (left, left + size)))
+        self.end = len(self.at) if reaches else len(self.at) + limit  # the text goes on beyond the halo
+        self._next: dict[int, tuple[int, int]] = {}
+
+    def step(self, start: int) -> tuple[int, int]:
+        got = self._next.get(start)
+        if got is None:
+            got = self._next[start] = next_piece(start, self.end, self.pos, self.strength, self.limit, self.overlap)
+        return got
+
+    def entries(self) -> list[int]:
+        """Where the first piece of a range that isn't the text's first may begin: at a boundary, or where all before it lacks one."""
+        lo, stop, bare = self.lo, self.lo + self.limit, self.limit - self.overlap
+        a, z = np.searchsorted(self.pos, (lo, stop))
+        out = self.pos[a:z].tolist()
+        # A piece cut at the limit has no boundary in its last ``bare`` characters, and none where its successor begins.
+        edges = [int(self.pos[a - 1]) if a else lo - bare, *out, stop]
+        for before, after in zip(edges, edges[1:]):
+            out += range(max(lo, before + bare), after)
+        return out
+
+    def table(self, first: bool) -> tuple[list[int], list[int]]:
+        """Of each place where the first piece may begin: where the next range's first one does (-1: nowhere), and the pieces between; -2 elsewhere."""
+        memo: dict[int, tuple[int, int]] = {}
+        entries = [self.lo] if first else self.entries()
+        exits, counts = [-2] * (1 if first else self.limit), [0] * (1 if first else self.limit)
+        for entry in entries:
+            chain, at = [], entry
+            while at not in memo and 0 <= at < self.hi:
+                chain.append(at)
+                at = self.step(at)[1]
+            exit_, n = memo[at] if at in memo else (at if at < 0 else at - self.hi, 0)
+            memo.setdefault(at, (exit_, n))
+            for x in reversed(chain):
+                n += 1
+                memo[x] = exit_, n
+            exits[entry - self.lo], counts[entry - self.lo] = memo[entry]
+        return exits, counts
+
+    def pieces(self, entry: int) -> list[tuple[int, int, bytes]]:
+        """Pieces (start, end, bytes) that begin in the range; offsets count its characters."""
+        out, at = [], self.lo + entry if entry >= 0 else -1
+        while 0 <= at < self.hi:
+            end, following = self.step(at)
+            out.append((at - self.lo, end - self.lo, self.data[self.edge[at] : self.edge[end]]))
+            at = following
+        return out
+
+    def lengths(self, first: bool, last: bool) -> tuple[int, int, int]:
+        """Characters, those that aren't white space, and runs of white space that begin here, without those at the text's ends."""
+        _, white, _ = characters(np.frombuffer(self.data, np.uint8))
+        lo, hi = self.lo, self.hi
+        if hi <= lo:
+            return 0, 0, -int(last and hi > 0 and bool(white[hi - 1]))
+        own = white[lo:hi]
+        begins = own & ~np.concatenate(([lo > 0 and bool(white[lo - 1])], own[:-1]))
+        return hi - lo, int((~own).sum()), int(begins.sum()) - int(first and bool(own[0])) - int(last and bool(own[-1]))
 
 
 def split_text(text: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, bytes]]:
-    """Pieces (start, end, bytes) of one text; offsets count characters."""
-    at, pos, strength = boundaries(np.frombuffer(text, np.uint8))
-    edge = np.append(at, len(text))
-    return [(s, e, text[edge[s] : edge[e]]) for s, e in cuts(0, len(at), pos, strength, limit, overlap)] if len(at) else []
-
-
-def _anchor(pos: np.ndarray, strength: np.ndarray, at: np.ndarray, byte: int, last: int) -> int:
-    """Character index where a section begins that may begin at ``byte``: the first boundary of the best strength in the halo."""
-    lo, hi = np.searchsorted(at, (byte, byte + last))
-    a, z = np.searchsorted(pos, (lo, hi))
-    return int(pos[a + int(np.argmax(strength[a:z]))]) if z > a else int(lo)
-
-
-def _section(data: bytes, left: int, size: int, first: bool, last: bool, limit: int, overlap: int) -> tuple[int, list[tuple[int, int, bytes]]]:
-    """Characters and pieces of the section of one range; ``data`` has ``left`` bytes of halo before its ``size`` bytes."""
-    b = np.frombuffer(data, np.uint8)
-    at, pos, strength = boundaries(b)
-    edge = np.append(at, len(data))
-    lo = 0 if first else _anchor(pos, strength, at, left, HALO_BYTES // 2)
-    hi = len(at) if last else _anchor(pos, strength, at, left + size, HALO_BYTES // 2)
-    if hi <= lo:
-        return 0, []
-    start = lo
-    if not first:
-        a, z = np.searchsorted(pos, (lo - overlap, lo))
-        start = int(pos[a]) if z > a else lo
-    return hi - lo, [(s - lo, e - lo, data[edge[s] : edge[e]]) for s, e in cuts(start, hi, pos, strength, limit, overlap)]
-
-
-def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a string column, without copying the texts; a null is empty."""
-    col = col.cast(pa.large_string())
-    _, off, data = col.buffers()
-    offsets = np.frombuffer(off, np.int64)[col.offset : col.offset + len(col) + 1]
-    return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-
-
-def collapsed_lengths(df: DataFrame, keys: list[str], text: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``keys`` and ``n_chars``: characters left after each run of white space becomes one blank and the ends are trimmed.
+    """Pieces (start, end, bytes) of one text, seen as one range; offsets count characters."""
+    return Section(text, 0, len(text), True, limit, overlap).pieces(0)
 
-    Each range reports its solid characters, the runs that begin in it and the state of its ends;
-    the stitched sums are exact whatever the ranges.  Null and empty texts have 0.
-    """
+
+def _right_bytes(limit: int) -> int:
+    return 4 * (limit + 2)
+
+
+def _keys(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _ranges(raw: bytes, range_bytes: int, limit: int) -> Iterator[tuple[int, int, int, bool, bool, bool, bytes]]:
+    """``RANGE`` rows of one text."""
+    for no, lo in enumerate(range(0, len(raw), range_bytes)):
+        hi, left, stop = min(lo + range_bytes, len(raw)), min(lo, LEFT_BYTES), lo + range_bytes + _right_bytes(limit)
+        yield no, left, hi - lo, lo == 0, hi == len(raw), stop >= len(raw), _aligned(raw[lo - left : stop], lo > left, stop < len(raw))
+
+
+def _table_row(r: tuple, limit: int, overlap: int) -> tuple:
+    no, left, size, first, last, reaches, data = r
+    s = Section(data, left, size, reaches, limit, overlap)
+    return no, *s.lengths(first, last), *s.table(first)
+
+
+def _columns(rows: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+
+
+_TABLE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+_TABLE_NAMES = ["range_no", "chars", "solid", "gaps", "exits", "counts"]
+_RANGE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary()]
+_RANGE_NAMES = ["range_no", "left", "size", "first", "last", "reaches", "data"]
+
+
+def section_tables(df: DataFrame, keys: list[str], text: str, *, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``keys`` and the table of every range of every text: its lengths, and its exits and counts of pieces by entry."""
+    d = df.select(*keys, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = _buffers(batch.column("__text"))
-            base = offsets[0] if len(offsets) else 0
-            b = data[base : offsets[-1]] if len(offsets) else data
-            offsets = offsets - base
-            at, white, _ = characters(b)
-            begins = np.zeros(len(at), bool)
-            begins[np.searchsorted(at, offsets[:-1][np.diff(offsets) > 0])] = True
-            fresh = white & (begins | ~np.concatenate(([False], white[:-1])))
-            solid, runs = (np.concatenate(([0], np.cumsum(x))) for x in (~white, fresh))
-            sizes = np.diff(offsets)
-            parts = np.maximum(1, -(-sizes // range_bytes))
-            row = np.repeat(np.arange(len(sizes)), parts)
-            no = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-            lo = offsets[:-1][row] + no * range_bytes
-            hi = np.minimum(lo + range_bytes, offsets[1:][row])
-            a, z = np.searchsorted(at, lo), np.searchsorted(at, hi)
-            lead, trail = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-            some = z > a
-            lead[some] = white[a[some]] & (no[some] == 0)
-            trail[some] = white[z[some] - 1] & (no[some] == parts[row[some]] - 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in keys), pa.array(no.astype(np.int32)), pa.array(solid[z] - solid[a]), pa.array(runs[z] - runs[a] - lead - trail)], [*keys, "range_no", "solid", "gaps"])
+            row, out = [], []
+            for i, t in enumerate(batch.column("__text").to_pylist()):
+                got = [_table_row(r, limit, overlap) for r in _ranges((t or "").encode("utf-8", "surrogatepass"), range_bytes, limit)] or [(0, 0, 0, 0, [-1], [0])]
+                row += [i] * len(got)
+                out += got
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in keys), *_columns(out, _TABLE_TYPES)], [*keys, *_TABLE_NAMES])
 
-    d = df.select(*keys, F.col(text).alias("__text"))
-    ranges = d.mapInArrow(run, ", ".join(f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys) + ", range_no int, solid long, gaps long")
-    sums = ranges.groupBy(*keys).agg(F.sum("solid").alias("solid"), F.sum("gaps").alias("gaps"))
+    return d.mapInArrow(run, f"{_keys(d, keys)}, {TABLE}")
+
+
+def collapsed_lengths(df: DataFrame, keys: list[str], text: str, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``keys`` and ``n_chars``: characters left after each run of white space becomes one blank and the ends are trimmed.
+
+    The lengths are sums over the section tables, exact whatever the ranges.  Null and empty texts have 0.
+    """
+    sums = section_tables(df, keys, text, range_bytes=range_bytes).groupBy(*keys).agg(F.sum("solid").alias("solid"), F.sum("gaps").alias("gaps"))
     return sums.select(*keys, F.when(F.col("solid") > 0, F.col("solid") + F.col("gaps")).otherwise(F.lit(0)).alias("n_chars"))
 
 
-def _stitch(ranges: DataFrame, keys: list[str], limit: int, overlap: int) -> DataFrame:
-    """Pieces of ranges (keys, range_no, left, size, first, last, data), numbered and placed by prefix sums of the section table."""
-    schema = ", ".join(f"`{k}` {ranges.schema[k].dataType.simpleString()}" for k in keys)
+def _follow(t: pd.DataFrame, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exits and pieces of tables in a row, by entry."""
+    at, n = entry.copy(), np.zeros(len(entry), np.int64)
+    for exits, counts in zip(t["exits"], t["counts"]):
+        on = at >= 0
+        n[on] += np.asarray(counts)[at[on]]
+        at[on] = np.asarray(exits)[at[on]]
+    return at, n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def stitched(tables: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """``keys``, ``range_no``, ``entry``, ``base`` (characters before) and ``before`` (pieces before) of every range.
+
+    Blocks of ``BLOCK`` tables are put together first, then the blocks of a text are followed, then each
+    block's ranges, so no task holds the tables of a whole file.
+    """
+    kinds = _keys(tables, keys)
+    by = [*keys, "block"]
+    tables = tables.withColumn("block", F.floor(F.col("range_no") / BLOCK).cast("int"))
+
+    def together(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("range_no")
+        at, n = _follow(t, np.arange(1 if t["range_no"].iloc[0] == 0 else limit))
+        return pd.DataFrame([{**{k: t[k].iloc[0] for k in by}, "chars": int(t["chars"].sum()), "exits": at.astype(np.int32), "counts": n.astype(np.int32)}])
+
+    def along(t: pd.DataFrame, no: str) -> pd.DataFrame:
+        t = t.sort_values(no)
+        at, base, before, out = int(t["entry"].iloc[0]), int(t["base"].iloc[0]), int(t["before"].iloc[0]), []
+        for exits, counts, chars in zip(t["exits"], t["counts"], t["chars"]):
+            out.append((at, base, before))
+            base += int(chars)
+            if at >= 0:
+                before += int(counts[at])
+                at = int(exits[at])
+        e, b, f = zip(*out)
+        return t[[*keys, no]].assign(entry=e, base=b, before=f)
+
+    start = [F.lit(0).alias("entry"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("before")]
+    blocks = tables.select(*by, "range_no", "chars", "exits", "counts").groupBy(*by).applyInPandas(together, f"{kinds}, block int, chars long, exits array<int>, counts array<int>")
+    placed = blocks.select("*", *start).groupBy(*keys).applyInPandas(lambda t: along(t, "block"), f"{kinds}, block int, entry int, base long, before long")
+    return tables.join(placed, by).groupBy(*by).applyInPandas(lambda t: along(t, "range_no"), f"{kinds}, range_no int, entry int, base long, before long")
+
+
+def _pieces_of(ranges: DataFrame, keys: list[str], limit: int, overlap: int) -> DataFrame:
+    """Pieces of ``RANGE`` rows: tables, stitched entries, then every range once more from its entry."""
+    kinds = _keys(ranges, keys)
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, r in enumerate(batch.select(["range_no", "left", "size", "first", "last", "data"]).to_pylist()):
-                chars, got = _section(r["data"], r["left"], r["size"], r["first"], r["last"], limit, overlap)
-                k, n = [batch.column(k).slice(i, 1).take(pa.array([0] * max(1, len(got)))) for k in keys], len(got)
-                got = got or [(0, 0, None)]
-                yield pa.RecordBatch.from_arrays([*k, pa.array([r["range_no"]] * len(got), pa.int32()), pa.array([chars] * len(got), pa.int64()), pa.array([n] * len(got), pa.int32()), pa.array(range(len(got)), pa.int32()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2].decode("utf-8", "replace") if g[2] is not None else None for g in got], pa.string())], [*keys, "range_no", "chars", "n", "local", "s", "e", "piece"])
+            rows = [_table_row(tuple(r.values()), limit, overlap) for r in batch.select(_RANGE_NAMES).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *_columns(rows, _TABLE_TYPES)], [*keys, *_TABLE_NAMES])
 
-    from corpusloom.runtime import materialise
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            for i, r in enumerate(batch.select([*_RANGE_NAMES, "entry", "base", "before"]).to_pylist()):
+                got = Section(r["data"], r["left"], r["size"], r["reaches"], limit, overlap).pieces(r["entry"])
+                row += [i] * len(got)
+                out += [(r["before"] + j, r["base"] + s, r["base"] + e, p.decode("utf-8", "replace")) for j, (s, e, p) in enumerate(got)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in keys), *_columns(out, [pa.int32(), pa.int64(), pa.int64(), pa.string()])], [*keys, "piece_no", "start_char", "end_char", "piece"])
 
-    pieces = materialise(ranges.mapInArrow(run, schema + ", range_no int, chars long, n int, local int, s long, e long, piece string"), "range-pieces")
-    w = Window.partitionBy(*keys).orderBy("range_no")
-    sections = pieces.where("local = 0").select(*keys, "range_no", (F.sum("chars").over(w) - F.col("chars")).alias("base"), (F.sum("n").over(w) - F.col("n")).alias("before"))
-    placed = pieces.where("n > 0").join(sections, [*keys, "range_no"])
-    return placed.select(*keys, (F.col("before") + F.col("local")).cast("int").alias("piece_no"), (F.col("base") + F.col("s")).alias("start_char"), (F.col("base") + F.col("e")).alias("end_char"), "piece")
+    tables = materialise(ranges.mapInArrow(table, f"{kinds}, {TABLE}"), "range-tables")
+    placed = stitched(tables, keys, limit)
+    return ranges.join(placed, [*keys, "range_no"]).select(*keys, *_RANGE_NAMES, "entry", "base", "before").mapInArrow(emit, f"{kinds}, {PIECES}")
 
 
 def split_pieces(df: DataFrame, keys: list[str], text: str, *, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -184,33 +287,30 @@ def split_pieces(df: DataFrame, keys: list[str], text: str, *, limit: int = LIMI
     its room (blank line, line, sentence, white space), else at the last one before, else at the
     limit; the next begins at a boundary at most ``overlap`` characters earlier.  The pieces without
     their overlaps are the text.  Null and empty texts have no pieces.  ``keys`` must tell rows apart.
+    The pieces don't depend on ``range_bytes``: a text of one range begins at entry 0 and needs no
+    stitching, the ranges of a longer one are spread over the tasks.
     """
     d = df.select(*keys, F.col(text).alias("__text")).where(F.octet_length("__text") > 0)
-    schema = ", ".join(f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, no, s, e, piece = [], [], [], [], []
+            row, out = [], []
             for i, t in enumerate(batch.column("__text").to_pylist()):
                 got = split_text(t.encode("utf-8", "surrogatepass"), limit, overlap)
                 row += [i] * len(got)
-                no += range(len(got))
-                s += [g[0] for g in got]
-                e += [g[1] for g in got]
-                piece += [g[2].decode("utf-8", "replace") for g in got]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in keys), pa.array(no, pa.int32()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(piece, pa.string())], [*keys, "piece_no", "start_char", "end_char", "piece"])
+                out += [(j, s, e, p.decode("utf-8", "replace")) for j, (s, e, p) in enumerate(got)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in keys), *_columns(out, [pa.int32(), pa.int64(), pa.int64(), pa.string()])], [*keys, "piece_no", "start_char", "end_char", "piece"])
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t in enumerate(batch.column("__text").to_pylist()):
-                raw = t.encode("utf-8", "surrogatepass")
-                for no, lo in enumerate(range(0, len(raw), range_bytes)):
-                    hi, left = min(lo + range_bytes, len(raw)), min(lo, HALO_BYTES)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in keys), pa.array([no], pa.int32()), pa.array([left], pa.int32()), pa.array([hi - lo], pa.int32()), pa.array([lo == 0]), pa.array([hi == len(raw)]), pa.array([_aligned(raw[lo - left : hi + HALO_BYTES], left > 0, hi + HALO_BYTES < len(raw))], pa.binary())], [*keys, "range_no", "left", "size", "first", "last", "data"])
+                for r in _ranges(t.encode("utf-8", "surrogatepass"), range_bytes, limit):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in keys), *_columns([r], _RANGE_TYPES)], [*keys, *_RANGE_NAMES])
 
-    small = d.where(F.octet_length("__text") <= range_bytes).mapInArrow(whole, f"{schema}, {PIECES}")
-    large = d.where(F.octet_length("__text") > range_bytes).mapInArrow(ranged, f"{schema}, range_no int, left int, size int, first boolean, last boolean, data binary").repartition(*keys, "range_no")
-    return small.unionByName(_stitch(large, keys, limit, overlap))
+    kinds = _keys(d, keys)
+    single = d.where(F.octet_length("__text") <= range_bytes).mapInArrow(one, f"{kinds}, {PIECES}")
+    several = d.where(F.octet_length("__text") > range_bytes).mapInArrow(ranged, f"{kinds}, {RANGE}").repartition(*keys, "range_no")
+    return single.unionByName(_pieces_of(several, keys, limit, overlap))
 
 
 def _aligned(data: bytes, cut_left: bool, cut_right: bool) -> bytes:
@@ -247,13 +347,14 @@ def split_files(spark: SparkSession, files: list[str], *, limit: int = LIMIT, ov
         for batch in batches:
             for r in batch.to_pylist():
                 system, path = fs.FileSystem.from_uri(r["path"])
-                lo, left = r["lo"], min(r["lo"], HALO_BYTES)
+                lo, left = r["lo"], min(r["lo"], LEFT_BYTES)
+                stop = lo + range_bytes + _right_bytes(limit)
                 with system.open_input_file(path) as f:
                     f.seek(lo - left)
-                    data = f.read(left + r["size"] + HALO_BYTES)
-                end = lo + r["size"]
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([r["range_no"]], pa.int32()), pa.array([left], pa.int32()), pa.array([r["size"]], pa.int32()), pa.array([lo == 0]), pa.array([end == r["whole"]]), pa.array([_aligned(data, left > 0, end + HALO_BYTES < r["whole"])], pa.binary())], ["path", "range_no", "left", "size", "first", "last", "data"])
+                    data = f.read(min(stop, r["whole"]) - lo + left)
+                row = (r["range_no"], left, r["size"], lo == 0, lo + r["size"] == r["whole"], stop >= r["whole"], _aligned(data, lo > left, stop < r["whole"]))
+                yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), *_columns([row], _RANGE_TYPES)], ["path", *_RANGE_NAMES])
 
     listed = spark.createDataFrame(list(ranges()), "path string, range_no int, lo long, size int, whole long")
     listed = listed.repartition(max(1, spark.sparkContext.defaultParallelism), "path", "range_no")
-    return _stitch(listed.mapInArrow(read, "path string, range_no int, left int, size int, first boolean, last boolean, data binary"), ["path"], limit, overlap)
+    return _pieces_of(listed.mapInArrow(read, f"path string, {RANGE}"), ["path"], limit, overlap)

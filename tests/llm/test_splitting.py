@@ -34,13 +34,28 @@ def test_ends_are_natural():
         assert text[:e].endswith("\n\n") or text[:e].rstrip().endswith(".")
 
 
-def test_ranges_give_a_whole_text(spark):
-    r = random.Random(2)
-    text = "".join(r.choice(["Wort ", "größer. ", "文字。", "\n", "\n\n", "x" * 50 + " "]) for _ in range(60_000))
-    df = rows(spark, [text, "short"])
-    got = sorted((x.piece_no, x.start_char, x.end_char, x.piece) for x in s.split_pieces(df, ["id"], "t", range_bytes=1 << 16).where("id = 0").collect())
-    assert [g[0] for g in got] == list(range(len(got)))
-    check(text, [g[1:] for g in got])
+def mixed(n, seed=2):
+    r = random.Random(seed)
+    return "".join(r.choice(["Wort ", "größer. ", "文字。", "\n", "\n\n", "x" * 50 + " ", *(["y" * r.randint(100, 4000)] if i % 50 == 0 else [])]) for i in range(n))
+
+
+def test_pieces_whatever_the_ranges(spark):
+    texts = [mixed(3000), "y" * 9000, "ü" * 5000 + mixed(300, 3), *TEXTS]
+    df = rows(spark, texts)
+    want = {}
+    for size in (1 << 20, 1 << 12, 900):
+        got = sorted((x.id, x.piece_no, x.start_char, x.end_char, x.piece) for x in s.split_pieces(df, ["id"], "t", range_bytes=size).collect())
+        want = want or got
+        assert got == want
+    for i in range(3):
+        check(texts[i], [g[2:] for g in want if g[0] == i])
+
+
+def test_tables_stitch_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK", 3)
+    df = rows(spark, [mixed(4000, 7)])
+    pieces = lambda size: sorted((x.piece_no, x.start_char, x.end_char, x.piece) for x in s.split_pieces(df, ["id"], "t", range_bytes=size).collect())
+    assert pieces(2000) == pieces(1 << 20)
 
 
 def test_files(spark, tmp_path):
@@ -48,10 +63,18 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text(text)
     got = sorted((x.piece_no, x.start_char, x.end_char, x.piece) for x in s.split_files(spark, [f"file://{tmp_path}/a.txt"], range_bytes=1 << 17).collect())
     check(text, [g[1:] for g in got])
+    assert [g[1:3] for g in got] == [p[:2] for p in s.split_text(text.encode())]
 
 
 def test_lengths_whatever_the_ranges(spark):
     for size in (7, 64, 1 << 20):
-        got = {r.id: r.n_chars for r in s.collapsed_lengths(rows(spark, TEXTS), ["id"], "t", size).collect()}
+        got = {r.id: r.n_chars for r in s.collapsed_lengths(rows(spark, TEXTS), ["id"], "t", range_bytes=size).collect()}
         assert got == {i: len(" ".join((t or "").split())) for i, t in enumerate(TEXTS)}
     assert s.collapsed_lengths(rows(spark, []), ["id"], "t").collect() == [] == s.split_pieces(rows(spark, []), ["id"], "t").collect()
+
+
+def test_registered_queries_agree(spark):
+    from corpusloom.llm.queries import QUERIES
+
+    pieces, ranged = (QUERIES[q](spark, "/root/testdata/sf0.001") for q in ("p3_pieces", "p3_ranged"))
+    assert pieces.exceptAll(ranged).isEmpty() and ranged.exceptAll(pieces).isEmpty() and pieces.where("length(piece) > 1800").isEmpty()
