@@ -24,9 +24,9 @@ def both_texts(spark, d):
 
 KEY = ["tab_name", "rec_key"]
 
-def _near(spark, d):
+def _near(spark, d, ordered=False):
     """Runs of three words, similarity 0.6, as this project states the problem."""
-    return near_duplicates.NearDuplicates(table(spark, d, "nexus_documents"), ROW, "body", k=3, threshold=0.6)
+    return near_duplicates.NearDuplicates(table(spark, d, "nexus_documents"), ROW, "body", k=3, threshold=0.6, ordered=ordered)
 
 
 def _coverage(spark, d):
@@ -47,6 +47,7 @@ QUERIES = {
     "p3_ranged": lambda spark, d: splitting.split_pieces(both_texts(spark, d), KEY, "text", range_bytes=8192),
     "p5_found": lambda spark, d: _near(spark, d).pairs("document_id"),
     "p5_groups": lambda spark, d: _near(spark, d).groups("document_id"),
+    "p5_edits": lambda spark, d: _near(spark, d, ordered=True).groups("document_id"),
     "p6_ids": lambda spark, d: bpe.encode_corpus(table(spark, d, "documents")),
     "p7_found": lambda spark, d: mixture.short_sources(_mix(spark, d)),
     "p7_shares": lambda spark, d: _mix(spark, d).shares,
@@ -67,7 +68,24 @@ _BOTH = """(SELECT 'nexus_documents' AS tab_name, shard_id || '/' || document_id
     UNION ALL SELECT 'documents_in', input_id::VARCHAR, text FROM documents_in)"""
 _LENGTHS = f"SELECT tab_name, rec_key, coalesce(length(regexp_replace(regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g'), '[{WS}]+', ' ', 'g')), 0) AS n_chars FROM {_BOTH}"
 
+_NEAR = """w AS (SELECT DISTINCT document_id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS a FROM nexus_documents),
+  g AS (SELECT DISTINCT document_id, a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] AS s FROM (SELECT *, unnest(range(1, len(a) - 1)) AS i FROM w WHERE len(a) >= 3)),
+  n AS (SELECT document_id, count(*) AS n FROM g GROUP BY 1),
+  b AS (SELECT x.document_id AS a, y.document_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.document_id < y.document_id GROUP BY 1, 2)"""
+
+_WINDOWS = """w AS (SELECT doc_id, unnest(range(0, length(text) - 199)) AS p, text FROM documents WHERE length(text) >= 200),
+  h AS (SELECT doc_id, p, hash(substring(text, p + 1, 200)) AS h FROM w),
+  s AS (SELECT h FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+  c AS (SELECT DISTINCT doc_id, p FROM h SEMI JOIN s USING (h)),
+  f AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM c),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM f),
+  spans AS (SELECT doc_id, min(p) AS start_char, max(p) + 200 AS end_char FROM r GROUP BY doc_id, run)"""
+
 ORACLE = {
+    "p5_found": f"WITH {_NEAR} SELECT b.a AS document_id_a, b.b AS document_id_b FROM b JOIN n x ON x.document_id = b.a JOIN n y ON y.document_id = b.b WHERE b.c >= 0.6 * (x.n + y.n - b.c)",
+    "p8_found": f"WITH {_WINDOWS} SELECT * FROM spans",
+    "p8_coverage": f"""WITH {_WINDOWS}, t AS (SELECT doc_id, sum(end_char - start_char)::BIGINT AS shared_chars, count(*) AS stretches FROM spans GROUP BY 1)
+        SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(stretches, 0) AS stretches FROM documents LEFT JOIN t USING (doc_id)""",
     "p3_found": f"SELECT tab_name, rec_key FROM ({_LENGTHS}) WHERE n_chars > 1800",
     "p3_lengths": _LENGTHS,
     "p1_found": f"WITH {_LINES} SELECT shard_id, document_id, line_no FROM k JOIN f USING (site, id)",

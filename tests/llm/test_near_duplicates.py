@@ -66,6 +66,30 @@ def test_repeats_of_a_passage_play_no_part(spark):
     assert set(map(tuple, nd.pairs("id").collect())) == brute(rows, 3, 0.6) == {(f"{i}a", f"{i}b") for i in range(12)}
 
 
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    from corpusloom.llm import near_duplicates
+
+    rows = corpus(3, 80)
+    want = brute(rows, 3, 0.6)
+    monkeypatch.setattr(near_duplicates, "CROWD", 2)
+    nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), ["shard", "id"], "body", k=3, threshold=0.6)
+    assert set(map(tuple, nd.pairs("id").collect())) == want
+
+
+def test_edits(spark):
+    r, rows = random.Random(8), []
+    for i in range(15):
+        words = [f"w{r.randrange(10_000)}" for _ in range(120)]
+        edited = list(words)
+        for _ in range(4):
+            j = r.randrange(len(edited))
+            edited[j : j + r.randint(0, 2)] = [f"v{r.randrange(10_000)}" for _ in range(r.randint(0, 2))]
+        rows += [("s", f"{i}a", " ".join(words), 1, 1, "x"), ("s", f"{i}b", " ".join(edited), 1, 1, "x"), ("s", f"{i}c", " ".join(words[60:] + words[:60]), 1, 1, "x"), ("s", f"{i}d", " ".join(words * 3), 1, 1, "x")]
+    nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), ["shard", "id"], "body", k=3, threshold=0.6, ordered=True)
+    got = set(map(tuple, nd.pairs("id").collect()))
+    assert got == {(f"{i}a", f"{i}b") for i in range(15)}  # sections in another order and repeats are many edits
+
+
 def test_empty_and_alone(spark):
     for rows in ([], [("s", "a", "one two three four five six", 1, 1, "x")]):
         nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), ["shard", "id"], "body")
