@@ -270,33 +270,29 @@ def verified(pairs: DataFrame, k: int, threshold: float, band: int, ordered: boo
 def candidates(classes: DataFrame, agreeing: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of classes (sig, n, sketch) that agree in ``agreeing`` sketches, and whose sizes don't rule out the threshold.
 
-    Buckets of two classes give their pair and those of up to ``CROWD`` classes theirs.  A larger bucket is
-    split by every other sketch of its members, so that unrelated classes which meet in it don't make pairs;
-    the pair's number of agreements is then that of the parts it shares, and one.
+    Most sketches stand alone and are left out first.  A bucket of up to ``CROWD`` classes gives its pairs.
+    A larger one is split by every other sketch of its members that doesn't stand alone, so that unrelated
+    classes which meet in it make no pairs; the pair's number of agreements is then that of the parts it
+    shares, and one.
     """
-    row = F.struct("sig", "n")
-    each = classes.select("sig", "n", F.explode("sketch").alias("h"))
-    buckets = materialise(each.groupBy("h").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.count("*").alias("c")).where("c > 1"), "buckets")
-
-    def met(members: DataFrame, by: list[str]) -> DataFrame:
-        a, b = (members.select(*by, F.struct("sig", "n").alias(x)) for x in "ab")
-        return a.join(b, by).where("a.sig < b.sig")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-
-    several = buckets.where("c > 2").select("h", "c")
-    members = materialise(each.join(small_side(several, several.count(), 24), "h"), "crowded")
-    small = possible(buckets.where("c = 2").select("a", "b").unionByName(met(members.where(F.col("c") <= CROWD), ["h"]).select("a", "b")))
-    small = small.groupBy(F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).agg(F.count("*").alias("agree"))
-    crowd = members.where(F.col("c") > CROWD).select("h", "sig", "n")
-    if crowd.isEmpty():
-        return small.where(F.col("agree") >= agreeing).select("a", "b")
-    parts = crowd.join(classes.select("sig", "sketch"), "sig").select("h", "sig", "n", F.explode("sketch").alias("g")).where("g <> h")
-    shared = parts.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
-    split = possible(met(materialise(parts.join(shared, ["h", "g"]), "split"), ["h", "g"]))
-    split = split.groupBy("h", F.col("a.sig").alias("a"), F.col("b.sig").alias("b")).agg((F.count("*") + 1).alias("agree"))
-    return small.unionByName(split.select("a", "b", "agree")).groupBy("a", "b").agg(F.max("agree").alias("agree")).where(F.col("agree") >= agreeing).select("a", "b")
+    each = classes.select("sig", F.explode("sketch").alias("h"))
+    buckets = materialise(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
+    members = materialise(each.join(small_side(buckets, buckets.count(), 24), "h"), "members")
+
+    def met(rows: DataFrame, by: list[str]) -> DataFrame:
+        a, b = (rows.select(*by, F.col("sig").alias(x)) for x in "ab")
+        return a.join(b, by).where("a < b")
+
+    agreed = met(members.where(F.col("c") <= CROWD), ["h"]).groupBy("a", "b").agg(F.count("*").alias("agree"))
+    crowd = members.where(F.col("c") > CROWD).select("h", "sig")
+    if not crowd.isEmpty():
+        parts = crowd.join(members.select("sig", F.col("h").alias("g")), "sig").where("g <> h")
+        shared = parts.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
+        split = met(materialise(parts.join(shared, ["h", "g"]), "split"), ["h", "g"]).groupBy("h", "a", "b").agg((F.count("*") + 1).alias("agree"))
+        agreed = agreed.unionByName(split.select("a", "b", "agree")).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    pairs, rows = agreed.where(F.col("agree") >= agreeing).select("a", "b"), classes.count()
+    sized = pairs.join(small_side(classes.select(F.col("sig").alias("a"), F.col("n").alias("na")), rows, 24), "a").join(small_side(classes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), rows, 24), "b")
+    return sized.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
 
 
 class NearDuplicates:
