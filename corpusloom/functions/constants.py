@@ -90,3 +90,9 @@ MIN_HEALTH, WARN_LOAD, CUTOFF_LOAD, EMERGENCY_LOAD, LATENCY_BUDGET_MS = 0.67, 0.
 RETRY_BASE, RETRY_CAP, RETRY_MAX = 0.5, 10.0, 5
 CIRCUIT_FAILURES, CIRCUIT_SECONDS = 3, 15.0
 BUCKET_CAPACITY, BUCKET_PER_MINUTE, BUCKET_CLIENTS = 30, 60, 20_000
+
+# Most results that each endpoint may be asked for, from 1.
+TOP_K = {"search": 25, "ask": 10, "shard_search": 100}
+
+# Settings of the vector provider under which a service is asked, given a key.
+NEURAL_SETTINGS = ("auto", "openai")

@@ -11,7 +11,7 @@ from corpusloom.functions import text
 from corpusloom.functions.constants import RETRY_BASE, RETRY_CAP, RETRY_MAX
 from corpusloom.functions.dialect import SPARK
 
-EVENT = "event_id string, document struct<title: string, text: string, url: string, source: string>, attempt int, created_at timestamp, last_error string, _corrupt string"
+EVENT = "event_id string, document struct<title: string, text: string, url: string, source: string>, attempt int, created_at timestamp, last_error string, not_before timestamp, traceparent string, _corrupt string"
 
 
 def event_ids(events: DataFrame) -> DataFrame:
@@ -27,14 +27,23 @@ def messages(events: DataFrame, trace: dict[str, str] | None = None) -> DataFram
 
 def parsed(raw: DataFrame, value: str = "value") -> DataFrame:
     """Fields of each message and ``valid``; broken JSON, a missing id or document and a negative attempt are invalid, their raw value kept."""
+    raw = traced(raw)
     e = raw.withColumn("e", F.from_json(F.col(value).cast("string"), EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     ok = F.col("e._corrupt").isNull() & F.col("e.event_id").isNotNull() & F.col("e.document").isNotNull() & (F.coalesce("e.attempt", F.lit(0)) >= 0)
     return e.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
+def traced(raw: DataFrame) -> DataFrame:
+    """``trace`` beside each message: the header ``traceparent``, where messages have headers."""
+    if "headers" not in raw.columns:
+        return raw.withColumn("trace", F.lit(None).cast("string"))
+    return raw.withColumn("trace", F.try_element_at(F.transform(F.filter("headers", lambda h: h["key"] == "traceparent"), lambda h: h["value"].cast("string")), F.lit(1)))
+
+
 def split(parsed_events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid events with their fields, and dead letters as they came."""
-    return parsed_events.where("valid").select("*", "e.*").drop("e", "_corrupt"), parsed_events.where("NOT valid").drop("e")
+    valid = parsed_events.where("valid").select("*", "e.*").drop("e", "_corrupt")
+    return valid.withColumn("traceparent", F.coalesce("trace", "traceparent")).drop("trace"), parsed_events.where("NOT valid").drop("e")
 
 
 def retry_delay(attempt: str) -> str:

@@ -65,13 +65,13 @@ def chunks(t: str | None, limit: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP
     return out[:cap]
 
 
-def chunked(df: DataFrame, keys: list[str], text: str, limit: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """``keys``, ``chunk_no`` and ``chunk`` of every text; null texts have none."""
+def chunked(df: DataFrame, keys: list[str], text: str, limit: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, cap: int | None = CHUNK_CAP) -> DataFrame:
+    """``keys``, ``chunk_no`` and ``chunk`` of every text, at most ``cap`` of a text (None: all); null texts have none."""
     d = df.select(*keys, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [chunks(t, limit, overlap) for t in b.column("__text").to_pylist()]
+            got = [chunks(t, limit, overlap, cap) for t in b.column("__text").to_pylist()]
             rows = [(i, n, c) for i, g in enumerate(got) for n, c in enumerate(g)]
             take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in keys), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], [*keys, "chunk_no", "chunk"])

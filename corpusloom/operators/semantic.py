@@ -12,12 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.constants import LSA_DIMENSIONS, LSA_FEATURES
+from corpusloom.functions.constants import LSA_DIMENSIONS, LSA_FEATURES, NEURAL_SETTINGS
 from corpusloom.operators.index import TextIndex, best_of, counter, rank, tokens
 from corpusloom.runtime import materialise
 
-#: Queries scored together by one task; a block times the dimensions is all that is broadcast.
-QUERY_BLOCK = 2048
+#: Queries scored by one matrix, and blocks of them that one scan serves: all that is broadcast.
+QUERY_BLOCK, SCAN_BLOCKS = 2048, 8
+#: Documents that the basis is fitted on, by hash of the id: all of a smaller corpus. Terms, weights and vectors cover every document.
+FIT_ROWS = 200_000
+#: Tasks that add up Gram matrices.
+GRAM_TASKS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,9 +46,10 @@ class LatentSpace:
     def fit(cls, spark: SparkSession, index: TextIndex, dimensions: int = LSA_DIMENSIONS, features: int = LSA_FEATURES) -> "LatentSpace":
         """Vocabulary by document frequency over all documents (ties by term); the basis from the Gram matrix.
 
-        Every task adds up the Gram matrix of its documents, features x features whatever their
-        number; the sums are added by partial aggregation and the eigenvectors taken by the driver.
-        Documents outside the vocabulary get no vector; an empty corpus gives an empty space.
+        The basis comes from at most about ``FIT_ROWS`` documents; up to ``GRAM_TASKS`` tasks add up the Gram
+        matrix of theirs, the sums are added row by row and the eigenvectors taken by the driver.  Where
+        they can't be taken, the space is that of the first terms.  Documents outside the vocabulary get
+        no vector; an empty corpus gives an empty space.
         """
         stats = index.stats.first()
         top = index.document_frequency().orderBy(F.desc("df"), F.asc("term")).limit(features).toPandas()
@@ -64,16 +69,19 @@ class LatentSpace:
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([g[i]], pa.list_(pa.float64()))], ["i", "row"])
 
         if not m:
-            return cls(vocabulary, np.zeros((0, 0)), spark.createDataFrame([], "doc_id long, vector array<float>"))
-        part = rows.mapInArrow(gram, "i int, row array<double>")
+            return cls(vocabulary, np.zeros((0, 0)), spark.createDataFrame([], f"doc_id {index.rows.schema['doc_id'].dataType.simpleString()}, vector array<float>"))
+        drawn = rows if n <= FIT_ROWS else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(FIT_ROWS / n * (1 << 30)))
+        part = drawn.coalesce(GRAM_TASKS).mapInArrow(gram, "i int, row array<double>")
         total = _sum_rows(part)
         g = np.zeros((m, m))
         for r in total.collect():  # features x features numbers, whatever the corpus
             g[r["i"]] = np.frombuffer(r["row"])
-        values, basis = np.linalg.eigh(g)
         k = min(dimensions, max(1, min(n, m) - 1))
-        order = np.argsort(values)[::-1][:k]
-        v = basis[:, order]
+        try:
+            values, basis = np.linalg.eigh(g)
+            v = basis[:, np.argsort(values)[::-1][:k]]
+        except np.linalg.LinAlgError:
+            v = np.eye(m)[:, :k]
         v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)  # fixed signs
         space = cls(vocabulary, np.ascontiguousarray(v.T), rows)
         space.vectors = materialise(space._project(spark, rows, "doc_id"), "lsa-vectors")
@@ -153,43 +161,89 @@ def _lists(y: np.ndarray) -> pa.Array:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``qid, doc_id, score, rank``: the k greatest dot products of each query (ties by doc_id).
 
-    Queries are broadcast in blocks of ``QUERY_BLOCK`` rows (a fixed size); every task keeps its k
-    best per query before the ranks are taken, so what is shuffled is tasks x queries x k at most.
+    Queries are broadcast in ``SCAN_BLOCKS`` blocks of ``QUERY_BLOCK`` rows a scan (a fixed size); every task keeps
+    its k best per query before the ranks are taken, so what is shuffled is tasks x queries x k at most.
     """
-    spark, out = vectors.sparkSession, None
-    asked = queries.select("qid", "vector").toPandas() if queries.count() <= QUERY_BLOCK else None
-    blocks = [asked] if asked is not None else (pd.DataFrame(b, columns=["qid", "vector"]) for b in _blocks(queries))
-    kind = queries.schema["qid"].dataType.simpleString()
-    for q in blocks:
-        if not len(q):
+    spark, kind = vectors.sparkSession, queries.schema["qid"].dataType.simpleString()
+    schema = f"qid {kind}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
+    out = spark.createDataFrame([], schema)
+    small = queries.count() <= QUERY_BLOCK * SCAN_BLOCKS
+    asked = queries.select("qid", "vector")
+    for blocks in [list(_slices(asked.toArrow().to_pylist()))] if small else _scans(asked):
+        if not blocks:
             continue
-        sent = spark.sparkContext.broadcast((list(q["qid"]), np.array(q["vector"].tolist(), np.float64)))
+        sent = spark.sparkContext.broadcast(blocks)
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, m = sent.value
-            score, docs = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
+            held = [(np.empty((len(ids), 0)), np.empty((len(ids), 0), object)) for ids, _ in sent.value]
+            kind = None
             for b in batches:
-                col = b.column("vector")
+                col, kind = b.column("vector"), b.column("doc_id").type
                 x = col.flatten().to_numpy().reshape(len(col), -1).astype(np.float64)
                 doc = b.column("doc_id").to_numpy(zero_copy_only=False)
-                score, docs = best_of(np.round(m @ x.T, 6), np.broadcast_to(doc, (len(ids), len(doc))), score, docs, k)
-            n = score.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(docs.ravel().tolist(), b.column("doc_id").type), pa.array(score.ravel())], ["qid", "doc_id", "score"])
-
-        part = vectors.select("doc_id", "vector").mapInArrow(best, f"qid {kind}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], f"qid {kind}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double")
+                for i, (ids, m) in enumerate(sent.value):
+                    held[i] = best_of(np.round(m @ x.T, 6), np.broadcast_to(doc, (len(ids), len(doc))), *held[i], k)
+            for (ids, _), (score, docs) in zip(sent.value, held):
+                n = score.shape[1]
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), pa.array(docs.ravel().tolist(), kind), pa.array(score.ravel())], ["qid", "doc_id", "score"])
+
+        out = out.unionByName(vectors.select("doc_id", "vector").mapInArrow(best, schema))
     return out.withColumn("rank", rank(["qid"], [F.desc("score"), F.asc("doc_id")])).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    block = []
-    for row in queries.select("qid", "vector").toLocalIterator():
-        block.append((row["qid"], row["vector"]))
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+def _slices(rows: list[dict]) -> Iterator[tuple[list, np.ndarray]]:
+    for lo in range(0, len(rows), QUERY_BLOCK):
+        part = rows[lo : lo + QUERY_BLOCK]
+        yield [r["qid"] for r in part], np.array([r["vector"] for r in part], np.float64)
+
+
+def _scans(queries: DataFrame) -> Iterator[list[tuple[list, np.ndarray]]]:
+    """Blocks of queries, as many as a scan serves."""
+    held = []
+    for row in queries.toLocalIterator():
+        held.append({"qid": row["qid"], "vector": row["vector"]})
+        if len(held) == QUERY_BLOCK * SCAN_BLOCKS:
+            yield list(_slices(held))
+            held = []
+    if held:
+        yield list(_slices(held))
+
+
+def wants_neural(setting: str, key: str | None) -> bool:
+    """Whether embeddings of a service are wanted: the setting allows it and there is a key."""
+    return setting in NEURAL_SETTINGS and bool(key)
+
+
+class SemanticSearch:
+    """Vectors of an embedding provider with the latent space as its fallback.
+
+    The latent space is always fitted.  Where a provider is wanted, all documents are embedded and written
+    once; any error leaves the latent space in charge, and so does an error while queries are embedded.
+    """
+
+    def __init__(self, space: LatentSpace, vectors: DataFrame | None, provider):
+        self.space, self.vectors, self.provider = space, vectors, provider
+
+    @classmethod
+    def fit(cls, spark: SparkSession, index: TextIndex, docs: DataFrame, provider=None, setting: str = "auto", key: str | None = None, id: str = "doc_id", text: str = "text") -> "SemanticSearch":
+        from corpusloom.sources.web import embedded
+
+        space, vectors = LatentSpace.fit(spark, index), None
+        if provider is not None and wants_neural(setting, key):
+            try:
+                vectors = materialise(embedded(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", provider), "neural-vectors")
+            except Exception:  # noqa: BLE001 - an outage of the provider must not stop search
+                vectors = None
+        return cls(space, vectors, provider)
+
+    def search(self, queries: DataFrame, k: int, qid: str = "qid", query: str = "query") -> DataFrame:
+        if self.vectors is not None:
+            from corpusloom.sources.web import embedded
+
+            try:
+                asked = materialise(embedded(queries.select(F.col(qid).alias("qid"), F.col(query).alias("query")), "qid", "query", self.provider), "neural-queries")
+                return nearest(self.vectors, asked, k)
+            except Exception:  # noqa: BLE001
+                pass
+        return self.space.search(queries, k, qid, query)

@@ -53,15 +53,21 @@ def first_wins(rows: DataFrame, order: str = "input_id") -> DataFrame:
 
 
 def new_rows(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows whose (shard_id, content_hash) the store hasn't: a left anti join on the hash, which spreads evenly."""
-    return first_wins(rows).join(store.select(*KEY).distinct(), KEY, "left_anti")
+    """Rows whose (shard_id, content_hash) the store hasn't, whatever the letter case of its hashes: a left anti join on the hash, which spreads evenly."""
+    return first_wins(rows).join(_folded(store).select(*KEY).distinct(), KEY, "left_anti")
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("content_hash", F.lower("content_hash"))
 
 
 def upsert(store: DataFrame, rows: DataFrame, order: str = "input_id") -> DataFrame:
     """The store after writing ``rows`` in order: the last row of a key replaces all other columns."""
     rest = [c for c in ROW if c not in KEY]
-    last = rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*KEY, "r.*")
-    return store.join(last.select(*KEY), KEY, "left_anti").select(*ROW).unionByName(last.select(*ROW))
+    last = _folded(rows).groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*KEY, "r.*")
+    gone = last.select(F.col("shard_id").alias("__s"), F.col("content_hash").alias("__h"))
+    kept = store.join(gone, (F.col("shard_id") == F.col("__s")) & (F.lower("content_hash") == F.col("__h")), "left_anti")
+    return kept.select(*ROW).unionByName(last.select(*ROW))
 
 
 def replace_slices(store: DataFrame, rows: DataFrame, order: str = "input_id") -> DataFrame:
@@ -95,66 +101,106 @@ def micro_batches(rows: DataFrame, size: int = 25, order: str = "input_id") -> D
     return numbered(rows, ["shard_id"], [order], "n").withColumn("batch", F.floor(F.col("n") / size).cast("long"))
 
 
+def ingest_outcome(batched: DataFrame, failures: str, retries: int = 2, order: str = "input_id") -> DataFrame:
+    """``shard_id, batches, failed, attempts, added, skipped`` of writing micro-batches to shards that refuse now and then.
+
+    ``failures`` tells how often the write of a batch (``shard_id``, ``batch``) fails; it is tried ``retries`` times
+    more.  A batch that fails to the end is left out, and all its documents count as skipped; of the others a
+    text is added once, by its first row, and skipped from then on.
+    """
+    f = batched.withColumn("__failures", F.greatest(F.expr(failures).cast("int"), F.lit(0)))
+    lost = F.col("__failures") > retries
+    each = f.groupBy("shard_id", "batch").agg(F.first("__failures").alias("__failures"), F.count("*").alias("n"))
+    batches = each.groupBy("shard_id").agg(F.count("*").alias("batches"), F.count_if(lost).alias("failed"), F.sum(F.least(F.col("__failures") + 1, F.lit(retries + 1))).alias("attempts"), F.sum("n").alias("n"))
+    added = f.where(~lost).groupBy(*KEY).agg(F.count("*").alias("copies")).groupBy("shard_id").agg(F.count("*").alias("added"))
+    out = batches.join(added, "shard_id", "left").na.fill(0, ["added"])
+    return out.select("shard_id", "batches", "failed", "attempts", "added", (F.col("n") - F.col("added")).alias("skipped"))
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer has made the next version; read again and repeat."""
+
+
 class VersionedStore:
-    """A store in a folder: a version is a list of immutable runs, and a commit swaps the pointer to it.
+    """A store in a folder: a version is a numbered file that lists immutable runs.
 
-    ``append`` writes only the rows that are new; ``commit`` writes a complete run and is what an
-    upsert, a replacement and a compaction do.  Rollback goes back one version.  Runs are partitioned
-    by shard_id, so a restore of one shard reads its files alone.
+    A commit writes its file beside and renames it to the next number, which fails when another writer has
+    it; nothing is deleted before, so a crash leaves the last version as it was.  ``append`` writes only the
+    rows that are new; ``commit`` writes a complete run and is what an upsert, a replacement and a compaction
+    do.  Rollback removes the newest file.  Runs are partitioned by shard_id, so a restore of one shard reads
+    its files alone.
     """
 
     def __init__(self, spark: SparkSession, path: str, max_runs: int = 32):
         self.spark, self.path, self.max_runs = spark, path.rstrip("/"), max_runs
-        self.jvm = spark.sparkContext._jvm
-        self.fs = self.jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path("").getFileSystem(self.conf)
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the versions, the newest last."""
+        if not self.fs.exists(self._path("versions")):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._path("versions"))]
+        return sorted(int(n[2:-5]) for n in names if n.startswith("v-") and n.endswith(".json"))
 
-    def _pointer(self):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
+    def _runs(self, number: int) -> list[str]:
+        return json.loads(self.spark.read.text(f"{self.path}/versions/v-{number:09d}.json", wholetext=True).first()[0])
 
     def versions(self) -> list[list[str]]:
         """The runs of each version, the newest last."""
-        if not self.fs.exists(self._pointer()):
-            return []
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
+        return [self._runs(n) for n in self._numbers()]
+
+    def _current(self) -> list[str]:
+        n = self._numbers()
+        return self._runs(n[-1]) if n else []
 
-    def _point(self, versions: list[list[str]]) -> None:
-        tmp = self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/.CURRENT.tmp")
+    def _point(self, runs: list[str], after: int | None = None) -> None:
+        """Makes ``runs`` the version that follows number ``after`` (default: the newest)."""
+        last = (self._numbers() or [0])[-1] if after is None else after
+        tmp, to = self._path(f"versions/.{uuid.uuid4().hex}.tmp"), self._path(f"versions/v-{last + 1:09d}.json")
         out = self.fs.create(tmp, True)
-        out.write(bytearray(json.dumps(versions), "utf-8"))
+        out.write(bytearray(json.dumps(runs), "utf-8"))
         out.close()
-        self.fs.delete(self._pointer(), False)
-        self.fs.rename(tmp, self._pointer())
+        if self.fs.exists(to) or not self.fs.rename(tmp, to):
+            self.fs.delete(tmp, False)
+            raise ConcurrentWrite(f"{self.path}: version {last + 1} is there")
 
     def create(self) -> None:
         """An empty store where there is none."""
-        if not self.versions():
-            self._point([[]])
+        if not self._numbers():
+            self._point([])
 
     def read(self, shard_id: str | None = None) -> DataFrame:
-        runs = (self.versions() or [[]])[-1]
-        df = self.spark.read.schema(STORE).parquet(*(f"{self.path}/{r}" for r in runs)) if runs else self.spark.createDataFrame([], STORE)
+        runs = self._current()
+        df = self.spark.read.schema(STORE).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/{r}" for r in runs)).select(*ROW) if runs else self.spark.createDataFrame([], STORE)
         return df if shard_id is None else df.where(F.col("shard_id") == shard_id)
 
     def restore(self, shard_id: str) -> DataFrame:
         return self.read(shard_id).orderBy("indexed_at", "document_id")
 
     def _write(self, df: DataFrame) -> str:
-        run = f"run-{uuid.uuid4().hex}"
-        df.select(*ROW).write.partitionBy("shard_id").parquet(f"{self.path}/{run}")
+        run = f"run={uuid.uuid4().hex}"
+        df.select(*ROW).write.partitionBy("shard_id").parquet(f"{self.path}/data/{run}")
         return run
 
     def commit(self, df: DataFrame) -> None:
-        self._point([*self.versions(), [self._write(df)]])
+        last = (self._numbers() or [0])[-1]
+        self._point([self._write(df)], last)
 
     def append(self, rows: DataFrame) -> None:
         """Adds rows whose keys the store hasn't (``new_rows``)."""
-        versions = self.versions() or [[]]
-        self._point([*versions, [*versions[-1], self._write(rows)]])
-        if len(versions[-1]) >= self.max_runs:
+        last, runs = (self._numbers() or [0])[-1], self._current()
+        self._point([*runs, self._write(rows)], last)
+        if len(runs) >= self.max_runs:
             self.commit(self.read())
 
     def rollback(self) -> None:
-        self._point(self.versions()[:-1])
+        n = self._numbers()
+        if len(n) > 1:
+            self.fs.delete(self._path(f"versions/v-{n[-1]:09d}.json"), False)
 
     def upsert(self, rows: DataFrame, order: str = "input_id") -> None:
         self.commit(upsert(self.read(), rows, order))

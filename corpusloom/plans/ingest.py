@@ -22,10 +22,9 @@ def stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, d: str) -> DataFrame:
-    """The log as raw messages; every fiftieth is cut off, as a broken producer would leave it."""
-    e = table(spark, d, "index_events")
-    value = F.to_json(F.struct("event_id", "document", "attempt", "created_at"))
-    return e.select("delivery_id", F.when(F.col("delivery_id") % 50 == 0, F.substring(value, 1, 20)).otherwise(value).alias("value"))
+    """The whole log as raw messages, and beside it a message cut off by a broken producer for every fiftieth (with negative ids)."""
+    e = table(spark, d, "index_events").select("delivery_id", F.to_json(F.struct("event_id", "document", "attempt", "created_at")).alias("value"))
+    return e.unionByName(e.where("delivery_id % 50 = 0").select((-F.col("delivery_id") - 1).alias("delivery_id"), F.substring("value", 1, 20).alias("value")))
 
 
 def _failing(c: str) -> str:
@@ -44,6 +43,7 @@ QUERIES = {
     "newly_created": lambda spark, d: incoming(spark, d).select("document_id").exceptAll(stored(spark, d).select("document_id")).distinct(),
     "ingest_batches": lambda spark, d: store.micro_batches(incoming(spark, d)).groupBy("shard_id", "batch").agg(F.count("*").alias("documents"), F.min("input_id").alias("first_input")),
     "ingest_totals": lambda spark, d: store.first_wins(incoming(spark, d)).groupBy("shard_id").agg(F.count("*").alias("added"), F.sum(F.col("copies") - 1).alias("skipped")),
+    "ingest_retries": lambda spark, d: store.ingest_outcome(store.micro_batches(incoming(spark, d)), "pmod(batch, 5)"),
     "refresh_pages": lambda spark, d: incoming(spark, d).where("length(url) > 0").groupBy("url", "shard_id").agg(F.count("*").alias("documents"), F.countDistinct("content_hash").alias("texts")),
     "refresh_totals": lambda spark, d: store.replace_urls(stored(spark, d), incoming(spark, d)).agg(F.sum("added").alias("added"), F.sum("skipped").alias("skipped"), F.sum("removed").alias("removed"), F.count_if(~F.col("unchanged")).alias("refreshed"), F.count_if("unchanged").alias("unchanged")),
     "dlq_split": lambda spark, d: events.parsed(raw_events(spark, d)).select("delivery_id", F.when(F.col("valid"), "parsed").otherwise("dead_letter").alias("status")),
@@ -66,18 +66,22 @@ _REPLACE = f"""{_INC}, i AS (SELECT url, content_hash, title, source FROM inc WH
 ORACLE = {
     "document_normalise": f"WITH {_INC} SELECT * FROM inc",
     "dedup_first_wins": f"WITH {_INC}, {_FIRST} SELECT shard_id, document_id, input_id, copies FROM first",
-    "new_documents": f"WITH {_INC}, {_FIRST} SELECT shard_id, document_id, input_id FROM first f WHERE NOT EXISTS (SELECT 1 FROM nexus_documents n WHERE n.shard_id = f.shard_id AND n.content_hash = f.content_hash)",
+    "new_documents": f"WITH {_INC}, {_FIRST} SELECT shard_id, document_id, input_id FROM first f WHERE NOT EXISTS (SELECT 1 FROM nexus_documents n WHERE n.shard_id = f.shard_id AND lower(n.content_hash) = f.content_hash)",
     "restore_scan": "SELECT document_id, title, indexed_at FROM nexus_documents WHERE shard_id = 'shard-1' ORDER BY indexed_at, document_id",
-    "upsert_docs": f"WITH {_INC}, {_LAST} SELECT {_COLS} FROM last UNION ALL SELECT {_COLS} FROM nexus_documents n WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.shard_id = n.shard_id AND l.content_hash = n.content_hash)",
-    "replace_slices": f"""WITH {_INC}, {_LAST} SELECT {_COLS} FROM last UNION ALL SELECT {_COLS} FROM nexus_documents n WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.shard_id = n.shard_id AND l.content_hash = n.content_hash)
+    "upsert_docs": f"WITH {_INC}, {_LAST} SELECT {_COLS} FROM last UNION ALL SELECT {_COLS} FROM nexus_documents n WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.shard_id = n.shard_id AND l.content_hash = lower(n.content_hash))",
+    "replace_slices": f"""WITH {_INC}, {_LAST} SELECT {_COLS} FROM last UNION ALL SELECT {_COLS} FROM nexus_documents n WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.shard_id = n.shard_id AND l.content_hash = lower(n.content_hash))
         AND NOT EXISTS (SELECT 1 FROM inc l WHERE l.shard_id = n.shard_id AND l.url = n.url)""",
     "replace_url": f"WITH {_REPLACE} SELECT * FROM out",
     "newly_created": f"WITH {_INC} SELECT DISTINCT document_id FROM inc WHERE document_id NOT IN (SELECT document_id FROM nexus_documents)",
     "ingest_batches": f"WITH {_INC}, b AS (SELECT *, (row_number() OVER (PARTITION BY shard_id ORDER BY input_id) - 1) // 25 AS batch FROM inc) SELECT shard_id, batch, count(*) AS documents, min(input_id) AS first_input FROM b GROUP BY shard_id, batch",
     "ingest_totals": f"WITH {_INC}, {_FIRST} SELECT shard_id, count(*) AS added, sum(copies - 1)::BIGINT AS skipped FROM first GROUP BY shard_id",
+    "ingest_retries": f"""WITH {_INC}, b AS (SELECT *, (row_number() OVER (PARTITION BY shard_id ORDER BY input_id) - 1) // 25 AS batch FROM inc),
+        t AS (SELECT shard_id, batch, count(*) AS n, batch % 5 AS failures FROM b GROUP BY shard_id, batch), g AS (SELECT shard_id, count(DISTINCT content_hash) AS added FROM b WHERE batch % 5 <= 2 GROUP BY shard_id)
+        SELECT shard_id, count(*) AS batches, count(*) FILTER (WHERE failures > 2) AS failed, sum(least(failures + 1, 3))::BIGINT AS attempts, coalesce(any_value(added), 0) AS added, (sum(n) - coalesce(any_value(added), 0))::BIGINT AS skipped FROM t LEFT JOIN g USING (shard_id) GROUP BY shard_id""",
     "refresh_pages": f"WITH {_INC} SELECT url, shard_id, count(*) AS documents, count(DISTINCT content_hash) AS texts FROM inc WHERE length(url) > 0 GROUP BY url, shard_id",
     "refresh_totals": f"WITH {_REPLACE} SELECT sum(added)::BIGINT AS added, sum(skipped)::BIGINT AS skipped, sum(removed)::BIGINT AS removed, count(*) FILTER (WHERE NOT unchanged) AS refreshed, count(*) FILTER (WHERE unchanged) AS unchanged FROM out",
-    "dlq_split": "SELECT delivery_id, CASE WHEN delivery_id % 50 = 0 OR event_id IS NULL OR document IS NULL OR attempt < 0 THEN 'dead_letter' ELSE 'parsed' END AS status FROM index_events",
+    "dlq_split": """SELECT delivery_id, CASE WHEN event_id IS NULL OR document IS NULL OR attempt < 0 THEN 'dead_letter' ELSE 'parsed' END AS status FROM index_events
+        UNION ALL SELECT -delivery_id - 1, 'dead_letter' FROM index_events WHERE delivery_id % 50 = 0""",
     "retry_rounds": f"""SELECT delivery_id, CASE WHEN delivery_id % 9 = 0 THEN greatest(attempt, {RETRY_MAX}) + 1 WHEN delivery_id % 5 = 0 THEN CASE WHEN attempt < 2 THEN 2 ELSE attempt END ELSE attempt END::INT AS attempt,
         CASE WHEN delivery_id % 9 = 0 THEN 'dead_letter' ELSE 'indexed' END AS outcome FROM index_events""",
     "event_ids": f"""SELECT delivery_id, {t.content_hash(DUCK, "coalesce(document.text, '')")} AS event_id FROM index_events WHERE document IS NOT NULL""",

@@ -10,6 +10,8 @@ from corpusloom.functions.dialect import Spark
 from corpusloom.plans.sql import both
 
 SHARD = "cast(user_id % 3 AS int)"
+#: A failure is a refusal (status 503) for every fourth event, else an error.
+REFUSED, ERROR = "event_type = 'error' AND event_id % 4 = 0", "event_type = 'error' AND event_id % 4 <> 0"
 #: Bucket bounds of the exposition format's default histogram, in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 
@@ -29,9 +31,20 @@ def _percentile(d: Spark, q: float) -> str:
     return f"round({'percentile' if d.name == 'spark' else 'quantile_cont'}(value, {q}), 6)"
 
 
+def _seconds(d: Spark) -> str:
+    """Seconds from the first to the last call of a level."""
+    us = "unix_micros(cast({} AS timestamp))" if d.name == "spark" else "epoch_us({})"
+    return f"(({us.format('max(ts)')} - {us.format('min(ts)')}) / 1e6)"
+
+
 def _histogram(d: Spark) -> str:
-    counts = " UNION ALL ".join(f"SELECT {SHARD} AS shard, '{le}' AS le, count_if(value / 1e2 <= {le}) AS n FROM events GROUP BY user_id % 3" for le in BUCKETS)
-    return counts + f" UNION ALL SELECT {SHARD}, '+Inf', count(*) FROM events GROUP BY user_id % 3"
+    """All bounds in one scan, then a row for each."""
+    bounds = [f"'{le}'" for le in BUCKETS] + ["'+Inf'"]
+    sums = ", ".join([*(f"count_if(value / 1e2 <= {le}) AS b{i}" for i, le in enumerate(BUCKETS)), f"count(*) AS b{len(BUCKETS)}"])
+    pair = (lambda le, i: f"named_struct('le', {le}, 'n', b{i})") if d.name == "spark" else (lambda le, i: f"{{'le': {le}, 'n': b{i}}}")
+    pairs = ", ".join(pair(le, i) for i, le in enumerate(bounds))
+    rows = d.lists(f"(SELECT {SHARD} AS shard, {sums} FROM events GROUP BY user_id % 3) h", "shard", f"array({pairs})" if d.name == "spark" else f"[{pairs}]", "st")
+    return f"SELECT shard, st.le AS le, st.n AS n FROM {rows} x"
 
 
 STATEMENTS = {
@@ -40,7 +53,8 @@ STATEMENTS = {
     # A8, A9, A27
     "latency_interp_percentiles": lambda d: f"SELECT {SHARD} AS shard, {_percentile(d, 0.5)} AS p50, {_percentile(d, 0.95)} AS p95, {_percentile(d, 0.99)} AS p99 FROM events GROUP BY user_id % 3",
     "latency_median": lambda d: "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type",
-    "bench_summary": lambda d: f"""SELECT {SHARD} AS level, count(*) AS requests, count_if(event_type = 'error') AS error_count, count_if(event_type <> 'error') AS success_count, round(1e2 * count_if(event_type <> 'error') / count(*), 2) AS success_rate,
+    "bench_summary": lambda d: f"""SELECT {SHARD} AS level, count(*) AS requests, count_if({ERROR}) AS error_count, count_if({REFUSED}) AS rejected_count, count_if(event_type <> 'error') AS success_count, round(1e2 * count_if(event_type <> 'error') / count(*), 2) AS success_rate,
+        round(count_if(event_type <> 'error') / greatest(1e-3, {_seconds(d)}), 6) AS throughput_rps,
         {_percentile(d, 0.5)} AS p50_ms, {_percentile(d, 0.95)} AS p95_ms, {_percentile(d, 0.99)} AS p99_ms, round(avg(value), 4) AS avg_ms, round(max(value), 6) AS max_ms FROM events GROUP BY user_id % 3""",
     # W4: running total and number of the last 1000 calls of a client
     "rolling_latency_1000": lambda d: "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 2) AS total, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS n FROM events",

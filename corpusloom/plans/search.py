@@ -149,7 +149,7 @@ QUERIES = {
     "vocabulary_size": lambda spark, d: index(spark, d).postings.agg(F.countDistinct("term").alias("terms")),
     "topk_vocab": lambda spark, d: index(spark, d).document_frequency().orderBy(F.desc("df"), F.asc("term")).limit(LSA_FEATURES),
     "bm25_batch": bm25,
-    "bm25_topk": lambda spark, d: index(spark, d, persist=True).search(cases(spark, d).where("qid = 'q003'"), K).drop("qid"),
+    "bm25_topk": lambda spark, d: bm25(spark, d, 3),
     "bm25_results": lambda spark, d: retrieved(spark, d),
     "compact_results": lambda spark, d: retrieved(spark, d).select("qid", "rank", "title", "url", F.expr(text.domain_of(SPARK, "url")).alias("domain"), "score"),
     "cosine_topk": cosine,
@@ -216,7 +216,7 @@ ORACLE = {
     "vocabulary_size": f"WITH {_IX} SELECT count(*) AS terms FROM f",
     "topk_vocab": f"WITH {_IX} SELECT term, df FROM f ORDER BY df DESC, term LIMIT {LSA_FEATURES}",
     "bm25_batch": f"WITH {_IX} SELECT * FROM ranked WHERE rank <= {K}",
-    "bm25_topk": f"WITH {_IX} SELECT doc_id, score, rank FROM ranked WHERE rank <= {K} AND qid = 'q003'",
+    "bm25_topk": f"WITH {_IX} SELECT * FROM ranked WHERE rank <= 3",
     "bm25_results": f"WITH {_CAND} SELECT * FROM candidates",
     "compact_results": f"WITH {_CAND} SELECT qid, rank, title, url, {text.domain_of(DUCK, 'url')} AS domain, score FROM candidates",
     "cosine_topk": f"WITH {_COS} SELECT * FROM cos WHERE rank <= {K}",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.functions import text as t
-from corpusloom.functions.constants import RETRY_BASE, RETRY_CAP
+from corpusloom.functions.constants import RETRY_BASE, RETRY_CAP, TOP_K
 from corpusloom.functions.dialect import Spark
 from corpusloom.plans.sql import both
 
@@ -22,6 +22,14 @@ def _domains(d: Spark) -> str:
     return f"array_to_string(list_filter({both_lists}, lambda v, i: list_position({both_lists}, v) = i), ' ')"
 
 
+def _asked(d: Spark) -> str:
+    """Every endpoint with sizes at and beyond its bounds."""
+    rows = [(e, k) for e, m in TOP_K.items() for k in (0, 1, m, m + 1)]
+    if d.name == "spark":
+        return "array(" + ", ".join(f"named_struct('endpoint', '{e}', 'top_k', {k})" for e, k in rows) + ")"
+    return "[" + ", ".join(f"{{'endpoint': '{e}', 'top_k': {k}}}" for e, k in rows) + "]"
+
+
 STATEMENTS = {
     # P1, P2, P6
     "tokenize_terms": lambda d: f"SELECT doc_id, {d.join(t.tokens(d, indexed(d)), ' ')} AS terms FROM documents",
@@ -52,7 +60,8 @@ STATEMENTS = {
         {d.join("coalesce(seeds, " + ("array(seed)" if d.name == 'spark' else "[seed]") + ")", ' ')} AS seeds FROM trusted_sources WHERE lower(trim(tier)) = 'core' OR contains(lower(name), 'docs')""",
     # P15, P16, P22, P24
     "snippet": lambda d: f"SELECT doc_id, {t.snippet(d, 'text', 'title')} AS snippet FROM documents WHERE text IS NOT NULL",
-    "query_validation": lambda d: "SELECT id, length(query) BETWEEN 2 AND 500 AS accepted, length(trim(query)) AS chars FROM eval_cases",
+    "query_validation": lambda d: f"""SELECT id, endpoint, top_k, coalesce(length(query) BETWEEN 2 AND 500, false) AND top_k BETWEEN 1 AND CASE endpoint {' '.join(f"WHEN '{e}' THEN {m}" for e, m in TOP_K.items())} END AS accepted, length(trim(query)) AS chars
+        FROM (SELECT id, query, e.endpoint AS endpoint, e.top_k AS top_k FROM {d.lists('eval_cases', 'id, query', _asked(d), 'e')} x) y""",
     "query_profile": lambda d: f"SELECT id, {t.query_profile(d, 'query')} AS profile, {t.query_tokens(d, 'query')} AS tokens FROM eval_cases",
     "case_filter": lambda d: "SELECT id, query FROM eval_cases WHERE category IN ('definition', 'identifier') ORDER BY id LIMIT 10",
     "judged_domains": lambda d: f"SELECT id, {_domains(d)} AS domains FROM eval_cases",

@@ -13,6 +13,28 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 _made: list[tuple[SparkSession, str]] = []
+_owners: list["Owner"] = []
+
+
+class Owner:
+    """Owns the tables that are materialised inside its ``with`` block; ``free`` removes them once nothing reads them any more."""
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> "Owner":
+        _owners.append(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        _owners.remove(self)
+
+    def free(self) -> None:
+        for spark, path in self.paths:
+            remove(spark, path)
+            if (spark, path) in _made:
+                _made.remove((spark, path))
+        self.paths = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +53,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
+    if _owners:
+        _owners[-1].paths.append((spark, path))
     return path
 
 

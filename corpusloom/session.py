@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.constants import TOP_K
 from corpusloom.functions.dialect import SPARK
 from corpusloom.operators import answers, planner
 from corpusloom.operators.fusion import assemble, candidates, hybrid
 from corpusloom.operators.index import TextIndex
 from corpusloom.operators.semantic import LatentSpace
 from corpusloom.operators.store import VersionedStore, new_rows, replace_urls, store_rows
-from corpusloom.runtime import materialise
+from corpusloom.runtime import Owner, materialise
 
 
 class SearchSession:
@@ -25,6 +26,7 @@ class SearchSession:
         self.store = VersionedStore(spark, path)
         self.store.create()
         self._built: tuple | None = None
+        self._owned: Owner | None = None
 
     def _rows(self, documents: DataFrame) -> DataFrame:
         d = documents
@@ -58,16 +60,21 @@ class SearchSession:
         return self.store.read().select(F.concat_ws("/", "shard_id", "document_id").alias("doc_id"), "title", F.col("body").alias("text"), "url", "source")
 
     def _index(self) -> tuple[TextIndex, LatentSpace]:
-        version = tuple(self.store.versions()[-1])
+        version = tuple(self.store._current())
         if self._built is None or self._built[0] != version:
-            index = TextIndex.build(self.documents())
-            self._built = (version, index, LatentSpace.fit(self.spark, index))
+            if self._owned is not None:
+                self._owned.free()  # the tables of the last version's index
+            with Owner() as self._owned:
+                index = TextIndex.build(self.documents())
+                self._built = (version, index, LatentSpace.fit(self.spark, index))
         return self._built[1:]
 
     def search(self, queries: DataFrame, mode: str = "hybrid", k: int = 10) -> DataFrame:
         """Ranked results of each query with scores and snippets; modes ``lexical``, ``semantic`` and ``hybrid``."""
         if mode not in ("lexical", "semantic", "hybrid"):
             raise ValueError(f"unknown mode {mode}")
+        if not 1 <= k <= TOP_K["search"]:
+            raise ValueError(f"k must be from 1 to {TOP_K['search']}")
         queries = queries.where(F.length("query").between(2, 500))
         index, space = self._index()
         ranked = hybrid(index.search(queries, candidates(k)), space.search(queries, candidates(k)), k, mode)
@@ -75,6 +82,8 @@ class SearchSession:
 
     def ask(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """``qid, decision, answer, model`` by the evidence gate over up to 25 candidates."""
+        if not 1 <= k <= TOP_K["ask"]:
+            raise ValueError(f"k must be from 1 to {TOP_K['ask']}")
         found = materialise(self.search(queries, "hybrid", min(25, max(20, 4 * k))), "asked").select("qid", "query", "doc_id", "rank", "score", "title", "url", "source", "snippet")
         return answers.evaluate(self.spark, found, queries.select("qid", "query"), "answers")
 

@@ -43,12 +43,13 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("value", CASE, {"mode": "FAILFAST"}).alias("c")).select("c.*")
 
 
-def report(results: DataFrame, summary: DataFrame, path: str, title: str) -> None:
-    """Full results as JSON lines, written by all tasks, and a short Markdown table of a small summary."""
+def report(results: DataFrame, summary: DataFrame, path: str, title: str, rows: int = 1000) -> None:
+    """Full results as JSON lines, written by all tasks, and a Markdown table of a summary, whose first ``rows`` rows it has (it says so where there are more)."""
     results.write.mode("overwrite").json(f"{path}/results")
-    rows = [r.asDict() for r in summary.limit(1000).collect()]
+    got = [r.asDict() for r in summary.limit(rows + 1).collect()]
+    more, rows = len(got) > rows, got[:rows]
     head = list(rows[0]) if rows else summary.columns
-    table = [f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows)]
+    table = [f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows), *(["", f"The summary goes on beyond {len(rows)} rows."] if more else [])]
     spark = results.sparkSession
     spark.createDataFrame([("\n".join(table),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
 

@@ -27,30 +27,40 @@ def file_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 class IndexStream:
-    """``foreachBatch`` worker over a stream of raw messages (column ``value``).
+    """``foreachBatch`` worker over a stream of raw messages (column ``value``, and ``headers`` where the log has them).
 
     A batch is split into valid events and dead letters; valid ones that ``refuses`` (a condition over
-    delivery columns, for tests and partial outages) are written to the retry folder with their attempt
-    and the error, or to the dead letters beyond the limit; the rest is deduplicated against the store
-    without a time limit and appended under its owner shard.  A batch that is run again after a crash
-    finds its rows in the store and changes nothing.
+    delivery columns, for tests and partial outages) are written to the retry folder with their attempt,
+    the error and the time they are due, or to the dead letters beyond the limit; the rest is deduplicated
+    against the store without a time limit and appended under its owner shard.  The retry folder is part of
+    the stream's source: a message that isn't due yet is put back as it is.  A batch that is run again
+    after a crash finds its rows in the store and changes nothing.
     """
 
     def __init__(self, spark: SparkSession, store: str, dead: str, retry: str, shards: list[str], refuses: str | None = None):
         self.spark, self.store, self.dead, self.retry, self.shards, self.refuses = spark, VersionedStore(spark, store), dead, retry, shards, refuses
         self.store.create()
+        self.store.fs.mkdirs(self.store.jvm.org.apache.hadoop.fs.Path(retry))
+
+    @staticmethod
+    def _messages(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(F.to_json(F.struct("event_id", "document", "attempt", "created_at", "last_error", "traceparent", *columns)).alias("value"))
 
     def batch(self, raw: DataFrame, batch_id: int) -> None:
         raw = raw.persist()
         try:
             ok, dead = events.split(events.parsed(raw))
             dead.select("value").write.mode("overwrite").text(f"{self.dead}/batch={batch_id}")
+            early = F.coalesce(F.col("not_before") > F.current_timestamp(), F.lit(False))
+            again, ok = self._messages(ok.where(early), "not_before"), ok.where(~early)
             if self.refuses:
-                failed = ok.where(F.expr(self.refuses)).withColumn("attempt", F.col("attempt") + 1).withColumn("last_error", F.substring(F.lit(f"refused: {self.refuses}"), 1, 500))
-                ok = ok.where(~F.expr(self.refuses))
-                again = failed.where(F.col("attempt") <= RETRY_MAX).withColumn("not_before", F.expr(f"timestampadd(MILLISECOND, cast(1000 * {events.retry_delay('attempt')} AS int), current_timestamp())"))
-                again.select(F.to_json(F.struct("event_id", "document", "attempt", "created_at", "last_error", "not_before")).alias("value")).write.mode("overwrite").text(f"{self.retry}/batch-{batch_id}")
-                failed.where(F.col("attempt") > RETRY_MAX).select(F.to_json(F.struct("event_id", "document", "attempt", "last_error")).alias("value")).write.mode("overwrite").text(f"{self.dead}/exhausted-{batch_id}")
+                refused = F.coalesce(F.expr(self.refuses), F.lit(False))
+                failed = ok.where(refused).withColumn("attempt", F.coalesce("attempt", F.lit(0)) + 1).withColumn("last_error", F.substring(F.lit(f"refused: {self.refuses}"), 1, 500))
+                ok = ok.where(~refused)
+                due = F.expr(f"timestampadd(MILLISECOND, cast(1000 * {events.retry_delay('attempt')} AS int), current_timestamp())")
+                again = again.unionByName(self._messages(failed.where(F.col("attempt") <= RETRY_MAX).withColumn("not_before", due), "not_before"))
+                self._messages(failed.where(F.col("attempt") > RETRY_MAX)).write.mode("overwrite").text(f"{self.dead}/exhausted-{batch_id}")
+            again.write.mode("overwrite").text(f"{self.retry}/batch-{batch_id}")
             docs = ok.select("document.*", F.col("created_at").alias("received_at"), F.xxhash64("event_id").alias("input_id"))
             rows = materialise(new_rows(store_rows(docs, self.shards), self.store.read()), "batch")
             if not rows.isEmpty():
@@ -59,7 +69,10 @@ class IndexStream:
             raw.unpersist()
 
     def start(self, source: DataFrame, checkpoint: str) -> StreamingQuery:
-        return source.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        """Runs to the end of the log and of the retries that are there; run it again, or on a timer, for those that fall due later."""
+        retries = self.spark.readStream.format("text").option("recursiveFileLookup", "true").load(self.retry)
+        both = source.unionByName(retries.select("value"), allowMissingColumns=True)
+        return both.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def within_watermark(stream: DataFrame, event_time: str = "created_at", lateness: str = "1 hour") -> DataFrame:

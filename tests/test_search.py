@@ -8,7 +8,8 @@ import pytest
 from corpusloom.functions import constants as C
 from corpusloom.operators.fusion import hybrid, merge_shards, rrf
 from corpusloom.operators.index import TextIndex
-from corpusloom.operators.semantic import LatentSpace, nearest
+from corpusloom.operators import semantic
+from corpusloom.operators.semantic import LatentSpace, SemanticSearch, nearest
 
 DOCS = [(1, "Queues", "a broker keeps ordered messages in a partition log", "https://q.example/1", "s"), (2, "Caches", "a cache keeps hot keys in memory with a ttl", None, "s"),
         (3, "Traces", "a trace follows a request across services", "", "s"), (4, "Caches", "cache invalidation of keys and cache misses", None, None), (5, None, None, None, None), (6, "", "", None, "s")]
@@ -121,3 +122,50 @@ def test_nearest_over_many_batches(spark):
         s = np.round(x @ x[j], 6)
         want = sorted(range(500), key=lambda i: (-s[i], i))[:7]
         assert [got[j, n + 1][0] for n in range(7)] == [f"d{i:03d}" for i in want]
+
+
+def test_selective_queries_read_postings_by_term(spark, index, monkeypatch):
+    want = sorted(map(tuple, index.search(queries(spark), 10).select("qid", "doc_id", "score", "rank").collect()))
+    monkeypatch.setattr(TextIndex, "_is_selective", lambda self, weighed: True)
+    assert sorted(map(tuple, index.search(queries(spark), 10).select("qid", "doc_id", "score", "rank").collect())) == want
+
+
+def test_many_blocks_in_a_scan(spark, index, monkeypatch):
+    from corpusloom.operators import index as module
+
+    want = sorted(map(tuple, index.search(queries(spark), 2).collect()))
+    for block, scan in ((1, 8192), (2, 2)):
+        monkeypatch.setattr(module, "QUERY_BLOCK", block)
+        monkeypatch.setattr(module, "SCAN_QUERIES", scan)
+        assert sorted(map(tuple, index.search(queries(spark), 2).collect())) == want
+
+
+def test_factorisation_failure_leaves_the_first_terms(spark, index, monkeypatch):
+    def fail(_):
+        raise np.linalg.LinAlgError("no")
+
+    monkeypatch.setattr(semantic.np.linalg, "eigh", fail)
+    space = LatentSpace.fit(spark, index)
+    assert (space.components == np.eye(len(space.vocabulary))[: len(space.components)]).all()
+
+
+def test_provider_and_its_outages(spark, index):
+    docs = spark.createDataFrame(DOCS, SCHEMA)
+    q = queries(spark).where("qid = 'q1'")
+
+    def lengths(texts):
+        return np.array([[len(t), 1.0] for t in texts])
+
+    def broken(texts):
+        raise OSError("down")
+
+    def no_queries(texts):
+        if "cache keys" in texts:
+            raise OSError("down")
+        return lengths(texts)
+
+    assert not semantic.wants_neural("lsa", "k") and not semantic.wants_neural("auto", None) and semantic.wants_neural("auto", "k")
+    local = sorted(map(tuple, LatentSpace.fit(spark, index).search(q, 3).collect()))
+    assert SemanticSearch.fit(spark, index, docs, lengths, "auto", "k").search(q, 3).count() == 3
+    for provider, key in ((broken, "k"), (no_queries, "k"), (lengths, None)):
+        assert sorted(map(tuple, SemanticSearch.fit(spark, index, docs, provider, "auto", key).search(q, 3).collect())) == local

@@ -1,9 +1,13 @@
+import json
+import os
+import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import events, store
-from corpusloom.runtime import numbered, scratch
+from corpusloom.runtime import Owner, materialise, numbered, scratch
 from corpusloom.session import SearchSession
 
 T0 = datetime(2025, 1, 1)
@@ -90,3 +94,83 @@ def test_session(spark):
     assert s.refresh(df)["unchanged"] == 2
     assert s.refresh(spark.createDataFrame([("Redis ttl", "A new text about the time to live of a redis key.", "https://redis.io/ttl", "manual")], df.schema)) == {"added": 1, "skipped": 0, "removed": 1, "refreshed": 1, "unchanged": 0}
     assert s.stats().agg({"documents": "sum"}).first()[0] == 2
+
+
+def test_hashes_agree_whatever_their_case(spark):
+    rows = store.store_rows(docs(spark, ("A", "one text", "u", "s")), ["s"])
+    upper = rows.withColumn("content_hash", F.upper("content_hash")).select(*store.ROW)
+    assert store.new_rows(rows, upper).collect() == []
+    assert [r.title for r in store.upsert(upper, rows.withColumn("title", F.lit("B"))).collect()] == ["B"]
+
+
+def test_a_crash_while_committing_keeps_the_last_version(spark, monkeypatch):
+    path = scratch(spark, "store")
+    s = store.VersionedStore(spark, path)
+    s.create()
+    s.upsert(store.store_rows(docs(spark, ("A", "one", "u", "s")), ["x"]))
+
+    def crash(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(store.VersionedStore, "_point", crash)  # the run is written, its version isn't
+    with pytest.raises(OSError):
+        s.upsert(store.store_rows(docs(spark, ("B", "two", "u", "s")), ["x"]))
+    monkeypatch.undo()
+    again = store.VersionedStore(spark, path)
+    again.create()
+    assert [r.title for r in again.read().collect()] == ["A"] and len(again.versions()) == 2
+
+
+def test_two_writers_do_not_lose_each_other(spark):
+    s = store.VersionedStore(spark, scratch(spark, "store"))
+    s.create()
+    with pytest.raises(store.ConcurrentWrite):
+        s._point(["late"], after=0)
+    assert s.read().collect() == []
+
+
+def test_failed_batches_count_as_skipped(spark):
+    rows = store.store_rows(docs(spark, *[(str(i), f"text {i % 6}", "u", "s") for i in range(8)]), ["s"])
+    out = store.ingest_outcome(store.micro_batches(rows, 3), "CASE batch WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END").first()
+    assert (out.batches, out.failed, out.attempts, out.added, out.skipped) == (3, 1, 3 + 3 + 1, 5, 3)
+
+
+def test_stream_reads_its_retries_when_due(spark):
+    from corpusloom.streaming.index_stream import IndexStream, file_source
+
+    base = scratch(spark, "stream")
+    lines = [json.dumps({"event_id": f"e{i}", "document": {"title": "t", "text": f"text {i}", "url": f"u{i}"}, "attempt": 0}) for i in range(4)]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{base}/log")
+    worker = lambda refuses: IndexStream(spark, f"{base}/store", f"{base}/dead", f"{base}/retry", ["s"], refuses)
+    run = lambda w: w.start(file_source(spark, f"{base}/log"), f"{base}/checkpoint").awaitTermination()
+    w = worker("event_id = 'e1' OR event_id = 'e2' AND attempt < 1")
+    run(w)
+    assert w.store.read().count() == 2
+    for _ in range(12):
+        run(w)
+        if w.store.read().count() == 3:
+            break
+        time.sleep(0.5)
+    assert sorted(r.url for r in w.store.read().collect()) == ["u0", "u2", "u3"]
+    w = worker(None)
+    for _ in range(12):
+        run(w)
+        if w.store.read().count() == 4:
+            break
+        time.sleep(1)
+    assert w.store.read().count() == 4
+
+
+def test_trace_headers_are_read(spark):
+    e = spark.createDataFrame([(1, "e", 0)], "delivery_id long, event_id string, attempt int").selectExpr("*", "named_struct('title', 't', 'text', 'x', 'url', 'u', 'source', 's') AS document", "current_timestamp() AS created_at", "cast(null as string) AS last_error")
+    ok, _ = events.split(events.parsed(events.messages(e, {"traceparent": "00-abc-01"})))
+    assert ok.first().traceparent == "00-abc-01"
+
+
+def test_owned_tables_are_freed(spark):
+    with Owner() as o:
+        df = materialise(spark.range(3), "owned")
+    assert df.count() == 3 and len(o.paths) == 1
+    path = o.paths[0][1]
+    o.free()
+    assert not os.path.exists(path.removeprefix("file://"))
