@@ -41,12 +41,16 @@ def test_against_brute_force(spark):
 
 
 def test_repeated_rounds_merge_runs_and_displace_winners(spark):
-    index = DeliveryIndex(spark, scratch(spark, "t"), prefix_bits=2, max_runs=1)
+    index = DeliveryIndex(spark, scratch(spark, "t"), prefix_bits=2, fanout=2)
     mk = lambda *x: spark.createDataFrame([(*y, "x", 1) for y in x], SCHEMA)
     assert index.ingest(mk((1, 1, "a", 2, T0), (2, 1, "b", 0, T0))).collect() == []
     assert {r[0] for r in index.ingest(mk((3, 2, "A ", 1, T0), (4, 2, "c", 0, T0))).collect()} == {1}
     assert {r[0] for r in index.ingest(mk((5, 3, "a", 5, T0), (6, 3, "C", 0, T0), (7, 3, None, 0, T0))).collect()} == {5, 6}
-    assert len(index.runs) == 1
+    assert index.runs == [(1, 0, 1), (0, 2, 2)]
+    again = DeliveryIndex(spark, index.path, prefix_bits=2, fanout=2)  # a restart finds the same runs
+    assert again.runs == index.runs
+    assert {r[0] for r in again.ingest(mk((8, 4, "b", 0, T0), (9, 4, "d", 0, T0))).collect()} == {8}
+    assert again.ingest(mk((10, 5, "e", 0, T0))).collect() == [] and again.runs == [(2, 0, 3), (0, 4, 4)]
 
 
 def test_empty_and_exactly_once(spark):
