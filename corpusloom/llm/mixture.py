@@ -1,10 +1,10 @@
 """Mixing sources to target token shares, with capped repeats.
 
-Documents of a source are laid in hash order into blocks of about ``block_tokens`` tokens; a block
-begins and ends with a document, so every document of it is used equally often.  Each output shard
-draws its number of blocks of each source from a multinomial law conditioned on the exact quotas; the
-source's slots go through one pseudorandom index permutation per pass over the source, and blocks are
-joined by index.
+A source's tokens are packed in hash order of its documents into blocks of ``block_tokens`` tokens, whatever the
+documents' ends; the last block of a source may be shorter.  Each output shard draws its number of blocks
+of each source from a multinomial law conditioned on the exact quotas (a multivariate hypergeometric
+draw), so that the shares hold for the whole mix; the source's slots go through one pseudorandom index
+permutation per pass over the source, and blocks are joined by index.
 """
 
 from __future__ import annotations
@@ -50,15 +50,15 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
 
 @dataclass
 class Mixture:
-    """``uses``: doc_id, source, n_tokens, uses; ``shares``: one row per row of the targets."""
+    """``uses``: doc_id, source, n_tokens, uses (of its most used block), used_tokens; ``shares``: one row per row of the targets."""
 
     uses: DataFrame
     shares: DataFrame
 
 
 def short_sources(m: Mixture) -> DataFrame:
-    """``source`` of the targets that the mix missed although it used each of their documents as often as allowed, by the exact totals."""
-    return m.shares.where("used_tokens >= source_tokens * max_repeats AND unreachable").select("source")
+    """``source`` of the targets whose drawn blocks have fewer tokens than their share of the mix, and whose capacity, all tokens as often as allowed, has too."""
+    return m.shares.where("used_tokens < target_tokens AND unreachable").select("source")
 
 
 def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = 2048, shard_blocks: int = 4096, bucket_docs: int = 500_000, seed: int = 42, vocabulary: str | None = None) -> Mixture:
@@ -84,23 +84,23 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = 2048, s
     by_name = {r["name"]: (r["tokens"], r["docs"]) for r in sized.join(F.broadcast(names), "name").groupBy("name").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0
 
-    # Blocks: a running sum within (source, hash bucket), so no source is laid out by a single task.
+    # Blocks: a running sum within (source, hash bucket) and the tokens of the buckets before, so no source is laid out by a single task.
     buckets = max(1, -(-max([1, *(n for _, n in by_name.values())]) // bucket_docs))
     key = F.xxhash64("doc_id")
+    keyed = sized.join(F.broadcast(names), "name").where("n_tokens > 0").select("*", key.alias("order"), F.pmod(key, F.lit(buckets)).alias("bucket"))
+    per_bucket = keyed.groupBy("name", "bucket").agg(F.sum("n_tokens").alias("n"))
+    before = per_bucket.select("name", "bucket", (F.sum("n").over(Window.partitionBy("name").orderBy("bucket")) - F.col("n")).alias("base"))
     w = Window.partitionBy("name", "bucket").orderBy("order", "doc_id")
-    laid = (
-        sized.join(F.broadcast(names), "name")
-        .select("*", key.alias("order"), F.pmod(key, F.lit(buckets)).alias("bucket"))
-        .withColumn("raw", F.floor((F.sum("n_tokens").over(w) - F.col("n_tokens")) / F.lit(block_tokens)))
-        .withColumn("local", F.dense_rank().over(Window.partitionBy("name", "bucket").orderBy("raw")) - 1)
-    )
-    laid = materialise(laid.select("doc_id", "name", "bucket", "local", "n_tokens"), "mix-blocks")
-    per_bucket = laid.groupBy("name", "bucket").agg((F.max("local") + 1).alias("blocks"))
-    offsets = per_bucket.select("name", "bucket", (F.sum("blocks").over(Window.partitionBy("name").orderBy("bucket")) - F.col("blocks")).alias("offset"))
-    blocks = {r["name"]: r["n"] for r in per_bucket.groupBy("name").agg(F.sum("blocks").alias("n")).collect()}
+    run = keyed.withColumn("local", F.sum("n_tokens").over(w) - F.col("n_tokens")).join(F.broadcast(before) if len(wanted) * buckets <= 100_000 else before, ["name", "bucket"])
+    at = F.col("base") + F.col("local")
+    size = F.lit(block_tokens)
+    parts = run.select("doc_id", "name", "n_tokens", at.alias("at"), F.explode(F.sequence(F.floor(at / size), F.floor((at + F.col("n_tokens") - 1) / size))).alias("block"))
+    held = F.least(F.col("at") + F.col("n_tokens"), (F.col("block") + 1) * size) - F.greatest(F.col("at"), F.col("block") * size)
+    laid = materialise(parts.select("doc_id", "name", "n_tokens", "block", held.alias("held")), "mix-blocks")
+    blocks = {k: -(-int(t) // block_tokens) for k, (t, _) in by_name.items() if t}
 
     # Quotas and the shards' draws; one number per source and shard.
-    order = sorted(k for k in blocks if k is not None and by_name[k][0])
+    order = sorted(k for k in blocks if k is not None)
     quota = np.array([min(blocks[k] * wanted[k][1], round(wanted[k][0] * total * blocks[k] / by_name[k][0])) for k in order], np.int64)
     shards = min(MAX_SHARDS, max(1, -(-int(quota.sum()) // shard_blocks)))
     rng, left, draws = np.random.default_rng(seed), quota.copy(), []
@@ -118,15 +118,18 @@ def mix(documents: DataFrame, targets: DataFrame, *, block_tokens: int = 2048, s
         return pd.Series(permuted(s % n, n, key.to_numpy() ^ (s // n)))
 
     used = slots.select("name", block_at("slot", "blocks", F.xxhash64("name", F.lit(seed))).alias("block")).groupBy("name", "block").agg(F.count("*").alias("uses"))
-    placed = laid.join(F.broadcast(offsets) if len(blocks) * buckets <= 100_000 else offsets, ["name", "bucket"]).select("doc_id", "name", "n_tokens", (F.col("offset") + F.col("local")).alias("block"))
-    uses = placed.join(used, ["name", "block"], "left").select("doc_id", F.col("name").alias("source"), "n_tokens", F.coalesce("uses", F.lit(0)).alias("uses"))
-
-    reached = uses.groupBy(F.col("source").alias("name")).agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("used_tokens"), F.max("uses").alias("most_uses"))
-    facts = [(r["source"], r["name"], float(r["share"]), int(r["repeats"]), int(by_name.get(r["name"], (0, 0))[0]), bool(r["share"] * total > by_name.get(r["name"], (0, 0))[0] * r["repeats"])) for r in rows]
-    facts_df = spark.createDataFrame(facts, "source string, name string, target_share double, max_repeats int, source_tokens long, unreachable boolean")
-    shares = facts_df.join(reached, "name", "left").select(
-        "source", "target_share", "max_repeats", "source_tokens", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
-        F.coalesce(F.try_divide(F.col("used_tokens"), F.lit(total)), F.lit(0.0)).alias("actual_share"), "unreachable")
+    drawn = laid.join(used, ["name", "block"], "left").select("doc_id", "name", "n_tokens", "held", F.coalesce("uses", F.lit(0)).alias("uses"))
+    uses = drawn.groupBy("doc_id", F.col("name").alias("source"), "n_tokens").agg(F.max("uses").alias("uses"), F.sum(F.col("held") * F.col("uses")).alias("used_tokens"))
+    empty = sized.join(F.broadcast(names), "name").where("n_tokens = 0").select("doc_id", F.col("name").alias("source"), "n_tokens", F.lit(0).cast("long").alias("uses"), F.lit(0).cast("long").alias("used_tokens"))
+
+    # Tokens drawn and tokens there of each source, from the blocks; a target's share and cap beside them.
+    reached = drawn.groupBy("name").agg(F.sum(F.col("uses") * F.col("held")).alias("used_tokens"), F.max("uses").alias("most_uses"), F.sum("held").alias("source_tokens"))
+    facts = spark.createDataFrame([(r["source"], r["name"], float(r["share"]), int(r["repeats"])) for r in rows], "source string, name string, target_share double, max_repeats int")
+    zero = F.lit(0).cast("long")
+    shares = facts.join(reached, "name", "left").select(
+        "source", "target_share", "max_repeats", F.coalesce("source_tokens", zero).alias("source_tokens"), F.coalesce("used_tokens", zero).alias("used_tokens"), F.coalesce("most_uses", zero).alias("most_uses"),
+        (F.col("target_share") * F.lit(int(total))).alias("target_tokens"))
+    shares = shares.withColumn("actual_share", F.coalesce(F.try_divide("used_tokens", F.lit(int(total))), F.lit(0.0))).withColumn("unreachable", F.col("target_tokens") > F.col("source_tokens") * F.col("max_repeats"))
     mixed = F.sum("used_tokens").over(Window.partitionBy())  # the table of targets
     shares = shares.withColumn("share_of_mix", F.coalesce(F.try_divide("used_tokens", mixed), F.lit(0.0)))
-    return Mixture(uses, shares)
+    return Mixture(uses.unionByName(empty), shares)

@@ -39,6 +39,7 @@ def _coverage(spark, d):
 QUERIES = {
     "p1_found": lambda spark, d: repeated_lines.repeated_lines(table(spark, d, "nexus_documents"), ROW),
     "p1_clean": lambda spark, d: repeated_lines.without_repeated_lines(table(spark, d, "nexus_documents"), ROW),
+    "p1_sequences": lambda spark, d: repeated_lines.repeated_lines(table(spark, d, "nexus_documents"), ROW, sequence_rows=4),
     "p2_found": lambda spark, d: boilerplate.furniture_lines(both_texts(spark, d), KEY, "text", "site"),
     "p2_content": lambda spark, d: boilerplate.main_content(both_texts(spark, d), KEY, "text", "site"),
     "p3_found": lambda spark, d: splitting.collapsed_lengths(both_texts(spark, d), KEY, "text").where(F.col("n_chars") > splitting.LIMIT).select(*KEY),
@@ -89,6 +90,10 @@ ORACLE = {
     "p3_found": f"SELECT tab_name, rec_key FROM ({_LENGTHS}) WHERE n_chars > 1800",
     "p3_lengths": _LENGTHS,
     "p1_found": f"WITH {_LINES} SELECT shard_id, document_id, line_no FROM k JOIN f USING (site, id)",
+    "p1_sequences": f"""WITH {_LINES}, q AS (SELECT a.site, a.shard_id, a.document_id, a.id AS x, b.id AS y, a.line_no AS i, b.line_no AS j FROM (SELECT * FROM k WHERE id <> '' AND site IS NOT NULL) a
+          JOIN (SELECT * FROM k WHERE id <> '') b ON a.shard_id = b.shard_id AND a.document_id = b.document_id AND a.line_no < b.line_no),
+        o AS (SELECT site, x, y FROM q GROUP BY ALL HAVING count(DISTINCT (shard_id, document_id)) >= 4), s AS (SELECT q.* FROM q SEMI JOIN o USING (site, x, y))
+        SELECT shard_id, document_id, line_no FROM k JOIN f USING (site, id) UNION SELECT shard_id, document_id, i FROM s UNION SELECT shard_id, document_id, j FROM s""",
     "p1_clean": f"""WITH {_LINES}, m AS (SELECT k.*, f.id IS NULL AS keep FROM k LEFT JOIN f USING (site, id))
         SELECT shard_id, document_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE keep), '') AS body FROM m GROUP BY ALL""",
 }

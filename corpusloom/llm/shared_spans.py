@@ -138,6 +138,62 @@ def _two_documents(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return shared, rep
 
 
+def _groups(batches: Iterator[pa.RecordBatch], two: bool) -> Iterator[tuple]:
+    """Rows sorted by ``k`` in parts that hold whole groups: k, doc, place, known, done, around.
+
+    A group goes on into the next batch; it is held back until it ends.  With ``two``, as soon as it has two
+    documents its rows are given out and two of them, of different documents, stay for the rest as ``done``.
+    """
+    held: tuple | None = None
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        k, doc, place, known = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "doc", "place", "known"))
+        around = np.array(b.column("around").to_pylist(), object) if not two else np.empty(n, object)
+        now = (k, doc, place, known, np.zeros(n, bool), around)
+        if held is not None:
+            now = tuple(np.concatenate(x) for x in zip(held, now))
+        k, doc, done = now[0], now[1], now[4]
+        tail = k == k[-1]
+        other = tail & ~now[3] & (doc != doc[tail & ~now[3]][0]) if (tail & ~now[3]).any() else np.zeros(len(k), bool)
+        if two and other.any():
+            keep = np.array([np.flatnonzero(tail & ~now[3])[0], np.flatnonzero(other)[0]])
+            yield now
+            held = tuple(x[keep] for x in now)
+            held = (*held[:4], np.ones(2, bool), held[5])
+        else:
+            held = tuple(x[tail] for x in now)
+            if not tail.all():
+                yield tuple(x[~tail] for x in now)
+    if held is not None:
+        yield held
+
+
+def _depth_nodes(k: np.ndarray, doc: np.ndarray, place: np.ndarray, known: np.ndarray, around: np.ndarray, span: int) -> pa.RecordBatch:
+    """The stretches of the suffixes that pass a node of depth ``span`` with two documents, of whole groups of the second partition."""
+    p, n0, n1 = place >> 16, place >> 8 & 255, place & 255
+    first, last = n0.copy(), n1.copy()
+    todo = np.flatnonzero(~known)
+    first[todo], last[todo] = 256, -1
+    text = np.frombuffer(b"".join(around[todo]), np.uint32).reshape(len(todo), 2 * (FINE - 1)).astype(np.uint64)
+    base = n0[todo] // FINE * FINE
+    low, high = n0[todo] - base, n1[todo] - base
+    left, right = [k[todo].view(np.uint64)], [np.zeros(len(todo), np.uint64)]
+    for j in range(FINE - 1):  # labels of the edges, away from the common part
+        left.append(_mix(left[-1] * _U(_BASE) + text[:, j] + _U(1)))
+        right.append(_mix(right[-1] * _U(_BASE) + text[:, FINE - 1 + j] + _U(1)))
+    for i in range(FINE):
+        at = np.flatnonzero((low <= i) & (i <= high))
+        node = _mix(left[i][at] + right[FINE - 1 - i][at] * _U(3))
+        hit = at[_two_documents(node, doc[todo][at])[0]]
+        rows, a = todo[hit], base[hit] + i
+        first[rows] = np.minimum(first[rows], a)
+        last[rows] = np.maximum(last[rows], a)
+    ok = last >= 0
+    return pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array((p - last)[ok]), pa.array((p - first)[ok] + span)], ["doc", "s", "e"])
+
+
 def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200) -> DataFrame:
     """``key``, ``start_char``, ``end_char``: the maximal stretches that windows of ``span`` characters cover which another ``key`` has too.
 
@@ -168,17 +224,14 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(known & ~rep, _mix(place.view(np.uint64)).view(np.int64), k)), pa.array(ids[w]), pa.array(place), pa.array(known & ~rep)], ["k", "doc", "place", "known"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        k, doc, place, known = (t.column(c).to_numpy() for c in ("k", "doc", "place", "known"))
-        keep = known.copy()
-        keep[~known] = _two_documents(k[~known], doc[~known])[0]
-        for lo in range(0, int(keep.sum()), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep][lo : lo + 100_000]), pa.array(place[keep][lo : lo + 100_000])], ["doc", "place"])
-
-    found = docs.mapInArrow(anchors, "k long, doc long, place long, known boolean").repartition("k").mapInArrow(candidates, "doc long, place long")
+        for k, doc, place, known, done, _ in _groups(batches, two=True):
+            keep = known.copy()
+            keep[~known] = _two_documents(k[~known], doc[~known])[0]
+            keep &= ~done
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep])], ["doc", "place"])
+
+    found = docs.mapInArrow(anchors, "k long, doc long, place long, known boolean").repartition("k").sortWithinPartitions("k").mapInArrow(candidates, "doc long, place long")
     found = materialise(found, "span-candidates").groupBy("doc").agg(F.collect_list("place").alias("places"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,33 +241,10 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
                 yield from _suffix_rows(ids[lo:hi], texts[lo:hi], places[lo:hi], span)
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        k, doc, place, known = (t.column(c).to_numpy() for c in ("k", "doc", "place", "known"))
-        p, n0, n1 = place >> 16, place >> 8 & 255, place & 255
-        first, last = n0.copy(), n1.copy()
-        todo = np.flatnonzero(~known)
-        first[todo], last[todo] = 256, -1
-        text = np.frombuffer(b"".join(t.column("around").filter(pa.array(~known)).to_pylist()), np.uint32).reshape(len(todo), 2 * (FINE - 1)).astype(np.uint64)
-        base = n0[todo] // FINE * FINE
-        low, high = n0[todo] - base, n1[todo] - base
-        left, right = [k[todo].view(np.uint64)], [np.zeros(len(todo), np.uint64)]
-        for j in range(FINE - 1):  # labels of the edges, away from the common part
-            left.append(_mix(left[-1] * _U(_BASE) + text[:, j] + _U(1)))
-            right.append(_mix(right[-1] * _U(_BASE) + text[:, FINE - 1 + j] + _U(1)))
-        for i in range(FINE):
-            at = np.flatnonzero((low <= i) & (i <= high))
-            node = _mix(left[i][at] + right[FINE - 1 - i][at] * _U(3))
-            hit = at[_two_documents(node, doc[todo][at])[0]]
-            rows, a = todo[hit], base[hit] + i
-            first[rows] = np.minimum(first[rows], a)
-            last[rows] = np.maximum(last[rows], a)
-        ok = last >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array((p - last)[ok]), pa.array((p - first)[ok] + span)], ["doc", "s", "e"])
-
-    around = docs.join(found, "doc").mapInArrow(suffixes, "k long, doc long, place long, known boolean, around binary").repartition("k").mapInArrow(repeats, "doc long, s long, e long")
+        for group in _groups(batches, two=False):
+            yield _depth_nodes(*group[:4], group[5], span)
+
+    around = docs.join(found, "doc").mapInArrow(suffixes, "k long, doc long, place long, known boolean, around binary").repartition("k").sortWithinPartitions("k").mapInArrow(repeats, "doc long, s long, e long")
     by = Window.partitionBy("doc").orderBy("s", "e")
     edge = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     runs = around.select("doc", "s", "e", (edge.isNull() | (F.col("s") > edge)).cast("int").alias("new")).select("doc", "s", "e", F.sum("new").over(by).alias("run"))

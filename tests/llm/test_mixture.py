@@ -26,7 +26,7 @@ def test_shares_and_caps(spark):
     total = sum(5 + i % 40 for i in range(900) if i % 50) 
     by = {}
     for r in uses:
-        by[r.source] = by.get(r.source, 0) + r.n_tokens * r.uses
+        by[r.source] = by.get(r.source, 0) + r.used_tokens
         assert r.uses <= (1 if r.source == "other" else 3)
     assert by["big"] / total == pytest.approx(0.6, abs=0.03) and by["small"] / total == pytest.approx(0.3, abs=0.03) and by["other"] / total == pytest.approx(0.05, abs=0.03)
     assert {s for s, r in shares.items() if r.unreachable} == {"none"} and len(shares) == 4
@@ -41,6 +41,15 @@ def test_unreachable_source_is_used_to_its_cap(spark):
     assert r["small"].unreachable and r["small"].used_tokens == 2 * r["small"].source_tokens and not r["big"].unreachable and r["big"].used_tokens == 0
 
 
+def test_blocks_have_a_fixed_length(spark):
+    t = spark.createDataFrame([("long", 1.0, 2)], T)
+    rows = [(i, "token " * n, "long", 0, "x") for i, n in enumerate((1000, 3, 0, 250, 1))]
+    m = mix(spark.createDataFrame(rows, D), t, block_tokens=64)
+    uses = {r.doc_id: r for r in m.uses.collect()}
+    n = sum(r.n_tokens for r in uses.values())
+    assert abs(sum(r.used_tokens for r in uses.values()) - n) <= 64 and all(r.used_tokens <= r.n_tokens * r.uses for r in uses.values()) and uses[2].uses == 0
+
+
 def test_short_sources_come_from_the_mix(spark):
     t = spark.createDataFrame([("small", 0.9, 2), ("SMALL", 0.01, 1), ("big", 0.1, 3), ("none", 0.1, 4)], T)
     found = short_sources(mix(docs(spark, 300), t, block_tokens=50))
