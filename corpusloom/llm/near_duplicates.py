@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared_spans import _mix
-from corpusloom.runtime import materialise, small_side
+from corpusloom.runtime import Owner, materialise, small_side
 
 WORD = re.compile(r"[^\W_]+")
 CHUNK = 1_500_000  # characters handled at once
@@ -310,13 +310,19 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, keys: list[str], text: str, *, k: int = 5, threshold: float = 0.8, ordered: bool = False, sketches: int = 48, agreeing: int = 3, common: float = 0.005, band: int = 256):
         sketched = materialise(sketch_records(df, keys, text, k=k, sketches=sketches, common=common, ordered=ordered), "sketches")
         self.members = sketched.select(*keys, "sig", "n")
-        classes = materialise(sketched.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-        pairs = materialise(candidates(classes, agreeing, threshold), "pairs")
+        with Owner() as between:
+            pairs = self._pairs(sketched, agreeing, threshold)
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
         wanted = self.members.join(ends, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(*keys)).alias("r")).select("sig", "r.*")
         texts = df.select(*keys, F.col(text).alias("text")).join(wanted, keys).select("sig", "text")
         both = pairs.select(F.col("a").alias("sig_a"), F.col("b").alias("sig_b")).join(texts.select(F.col("sig").alias("sig_a"), F.col("text").alias("text_a")), "sig_a").join(texts.select(F.col("sig").alias("sig_b"), F.col("text").alias("text_b")), "sig_b")
         self.links = materialise(verified(both, k, threshold, band, ordered), "links")
+        between.free()
+
+    @staticmethod
+    def _pairs(sketched: DataFrame, agreeing: int, threshold: float) -> DataFrame:
+        classes = materialise(sketched.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+        return materialise(candidates(classes, agreeing, threshold), "pairs")
 
     def pairs(self, key: str) -> DataFrame:
         """Every pair of different values of ``key`` whose records are alike, the smaller first."""
