@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as rules
 from corpusloom.functions.constants import BM25_B, BM25_K1
 from corpusloom.functions.dialect import SPARK
-from corpusloom.runtime import materialise, small_side
+from corpusloom.runtime import materialise, small_side, spread
 
 
 def tokens(text: str) -> Column:
@@ -80,7 +80,7 @@ class TextIndex:
         """
         scope = list(scope or [])
         # A row is a document, so its terms are counted, and later scored, where it is read.
-        whole = docs.select(*scope, F.col(id).alias("doc_id"), F.expr(text or indexed_text()).alias("body"))
+        whole = spread(docs).select(*scope, F.col(id).alias("doc_id"), F.expr(text or indexed_text()).alias("body"))
         kept = whole.select(*scope, "doc_id", tokens("body").alias("terms"))
         schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in (*scope, "doc_id")) + ", dl int, terms array<string>, tfs array<int>"
         rows = kept.mapInArrow(counter([*scope, "doc_id"]), schema)

@@ -95,6 +95,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A source that has fewer files than there are cores, dealt out to all cores; any other as it is read.
+
+    What moves is less than a file split for each core, so a large source is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size >= cores * (128 << 20) or len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "n") -> DataFrame:
     """``name``: place of each row from 0 within ``by`` in the order of ``order``, without one task per group.
 
