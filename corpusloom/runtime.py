@@ -101,7 +101,7 @@ def spread(df: DataFrame) -> DataFrame:
     What moves is less than a file split for each core, so a large source is never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df if size >= cores * (128 << 20) or len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
