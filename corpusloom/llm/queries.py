@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.llm import boilerplate, bpe, mixture, near_duplicates, repeated_lines, shared_spans, splitting
-from corpusloom.runtime import table
+from corpusloom.runtime import spread
+from corpusloom.runtime import table as read_table
 
 #: White space for a regular expression engine whose \s is ASCII only.
 WS = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f"
 ROW = ["shard_id", "document_id"]
 
 
+def table(spark, d, name):
+    return spread(read_table(spark, d, name))
+
+
+
 def _mix(spark, d):
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
