@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as rules
+from corpusloom.functions.constants import CIRCUIT_FAILURES, CIRCUIT_SECONDS
 from corpusloom.functions.dialect import DUCK
 from corpusloom.operators import guards, pages, planner
 from corpusloom.plans.sql import run
@@ -63,7 +64,36 @@ QUERIES = {
     "crawl_bfs": crawled,
     "robots_gate": lambda spark, d: pages.allowed(html_pages(spark, d).select("url").distinct(), spark.createDataFrame([("https://wiki.ulzisk.example", "User-agent: *\nDisallow: /de/")], "origin string, rules string")),
 }
+
+def _ordered(key: str) -> str:
+    """Calls of each key, numbered in time order."""
+    return f"""c AS (SELECT {key} AS k, event_id AS call_id, epoch_us(ts) / 1e6 AS at, event_type <> 'error' AS ok, value * 60 AS seconds, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events)"""
+
+
+# The folds once more, as recursive queries that go from call to call.
+_CIRCUIT = f"""WITH RECURSIVE {_ordered('(user_id % 3)::INT')}, f AS (
+    SELECT DISTINCT k, 0::BIGINT AS rn, NULL::BIGINT AS call_id, NULL::DOUBLE AS at, 0 AS failures, NULL::DOUBLE AS opened, true AS allowed FROM c
+    UNION ALL SELECT c.k, c.rn, c.call_id, c.at, CASE WHEN NOT a.allow THEN f.failures WHEN c.ok THEN 0 ELSE f.failures + 1 END,
+        CASE WHEN NOT a.allow THEN f.opened WHEN c.ok THEN NULL WHEN f.failures + 1 >= {CIRCUIT_FAILURES} THEN c.at ELSE f.opened END, a.allow
+      FROM f JOIN c ON c.k = f.k AND c.rn = f.rn + 1, LATERAL (SELECT f.opened IS NULL OR c.at - f.opened >= {CIRCUIT_SECONDS} AS allow) a),
+  s AS (SELECT call_id, k AS shard, allowed, CASE WHEN opened IS NULL THEN 'closed' WHEN f.at - opened < {CIRCUIT_SECONDS} THEN 'open' ELSE 'half_open' END AS state FROM f WHERE rn > 0)"""
+# A bucket of 3 that gains a token in 100 seconds, the slowest rate there is.
+_BUCKET = f"""WITH RECURSIVE {_ordered('user_id::VARCHAR')}, f AS (
+    SELECT DISTINCT k, 0::BIGINT AS rn, NULL::BIGINT AS call_id, NULL::DOUBLE AS at, 3e0 AS tokens, true AS allowed, 0 AS wait_s FROM c
+    UNION ALL SELECT c.k, c.rn, c.call_id, c.at, CASE WHEN t.have >= 1 THEN t.have - 1 ELSE t.have END, t.have >= 1, CASE WHEN t.have >= 1 THEN 0 ELSE greatest(1, trunc((1 - t.have) / 1e-2)::INT + 1) END
+      FROM f JOIN c ON c.k = f.k AND c.rn = f.rn + 1, LATERAL (SELECT CASE WHEN f.at IS NULL THEN f.tokens ELSE least(3e0, f.tokens + greatest(0e0, c.at - f.at) * 1e-2) END AS have) t)
+  SELECT call_id, k AS client, allowed, wait_s FROM f WHERE rn > 0"""
+_GATE = f"""WITH RECURSIVE {_ordered('(user_id % 3)::INT')}, f AS (
+    SELECT DISTINCT k, 0::BIGINT AS rn, NULL::BIGINT AS call_id, true AS admitted, []::DOUBLE[] AS ends FROM c
+    UNION ALL SELECT c.k, c.rn, c.call_id, len(e.left_over) < 4, CASE WHEN len(e.left_over) < 4 THEN list_append(e.left_over, c.at + c.seconds) ELSE e.left_over END
+      FROM f JOIN c ON c.k = f.k AND c.rn = f.rn + 1, LATERAL (SELECT list_filter(f.ends, lambda x: x > c.at) AS left_over) e)
+  SELECT call_id, k AS node, admitted, len(ends)::INT AS inflight FROM f WHERE rn > 0"""
+
 ORACLE = {
+    "circuit_states": f"{_CIRCUIT} SELECT * FROM s",
+    "circuit_state_counts": f"{_CIRCUIT}, l AS (SELECT shard, max_by(state, call_id) AS state FROM s GROUP BY shard) SELECT state, count(*) AS shards FROM l GROUP BY state",
+    "token_bucket": _BUCKET,
+    "capacity_gate": _GATE,
     "adaptive_plan": _plan(DUCK),
     "same_domain_links": f"""SELECT url, link, row_number() OVER (PARTITION BY url)::INT AS place FROM (SELECT url, {rules.canonical_url(DUCK, "concat(url, '?utm_source=nav')")} AS link FROM documents_in WHERE length(url) > 0)
         WHERE link <> '' AND NOT {rules.localized(DUCK, 'link')}""",

@@ -66,3 +66,6 @@ def authoritative_funnel(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {n: _query(n) for n in _STATEMENTS}
 ORACLE = {n: _oracle(n) for n in _STATEMENTS}
 QUERIES["authoritative_funnel"] = authoritative_funnel
+ORACLE["authoritative_funnel"] = f"""WITH marked AS (SELECT g.qid, g.rank, t.stage FROM ({ORACLE['gold_results']}) g JOIN ({search.ORACLE['stage_trace']}) t ON t.qid = g.qid AND t.rank = g.rank),
+    firsts AS (SELECT stage, count(*) AS n FROM (SELECT qid, stage FROM marked QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1) GROUP BY stage)
+    SELECT m.stage, count(*) AS candidates, coalesce(any_value(f.n), 0) AS first_in_cases FROM marked m LEFT JOIN firsts f USING (stage) GROUP BY m.stage"""

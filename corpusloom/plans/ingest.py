@@ -63,7 +63,21 @@ _REPLACE = f"""{_INC}, i AS (SELECT url, content_hash, title, source FROM inc WH
   r AS (SELECT g.url, items, coalesce(old_rows, 0) AS old_rows, coalesce(fresh, 0) AS fresh, coalesce(g.sig = h.sig AND len(g.sig) = old_rows, false) AS unchanged FROM g LEFT JOIN h USING (url) LEFT JOIN fresh USING (url)),
   out AS (SELECT url, CASE WHEN unchanged THEN 0 ELSE fresh END AS added, CASE WHEN unchanged THEN items ELSE items - fresh END AS skipped, CASE WHEN unchanged THEN 0 ELSE old_rows END AS removed, unchanged FROM r)"""
 
+
+
+def _object(*fields: tuple[str, str]) -> str:
+    """A JSON object of the fields that aren't null."""
+    parts = ", ".join(f"""CASE WHEN {v} IS NOT NULL THEN '"{n}":' || {v} END""" for n, v in fields)
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
+_TEXT = lambda c: f"to_json({c})::VARCHAR"
+_DOCUMENT = _object(*((n, f"CASE WHEN document.{n} IS NOT NULL THEN {_TEXT(f'document.{n}')} END") for n in ("title", "text", "url", "source")))
+_MESSAGE = _object(("event_id", f"CASE WHEN event_id IS NOT NULL THEN {_TEXT('event_id')} END"), ("document", f"CASE WHEN document IS NOT NULL THEN {_DOCUMENT} END"), ("attempt", "attempt::VARCHAR"),
+                   ("created_at", "strftime(created_at, '\"%Y-%m-%dT%H:%M:%S.%g\"')"), ("last_error", f"CASE WHEN last_error IS NOT NULL THEN {_TEXT('last_error')} END"))
+
 ORACLE = {
+    "index_event_messages": f"SELECT event_id AS key, {_MESSAGE} AS value FROM index_events",
     "document_normalise": f"WITH {_INC} SELECT * FROM inc",
     "dedup_first_wins": f"WITH {_INC}, {_FIRST} SELECT shard_id, document_id, input_id, copies FROM first",
     "new_documents": f"WITH {_INC}, {_FIRST} SELECT shard_id, document_id, input_id FROM first f WHERE NOT EXISTS (SELECT 1 FROM nexus_documents n WHERE n.shard_id = f.shard_id AND lower(n.content_hash) = f.content_hash)",

@@ -8,6 +8,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusloom.functions import text as t
 from corpusloom.functions.dialect import DUCK
+from corpusloom.plans import control
 from corpusloom.plans.control import calls
 from corpusloom.plans.ingest import raw_events
 from corpusloom.plans.text_rules import SHARDS
@@ -63,6 +64,8 @@ QUERIES = {
 }
 _KEY = f"CASE WHEN length(document.url) > 0 THEN document.url ELSE {t.content_hash(DUCK, 'document.text')} END"
 ORACLE = {
+    "stream_circuits": control.ORACLE["circuit_states"],
+    "stream_buckets": control.ORACLE["token_bucket"],
     "stream_index": f"""SELECT DISTINCT {t.rendezvous(DUCK, 'k', SHARDS)} AS shard_id, substring(h, 1, 16) AS document_id FROM
         (SELECT {t.content_hash(DUCK, "coalesce(document.text, '')")} AS h, {_KEY} AS k FROM index_events WHERE event_id IS NOT NULL AND document IS NOT NULL)""",
     "stream_windows": "SELECT epoch_us(time_bucket(INTERVAL '10 minutes', ts)) AS start_us, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome, count(*) AS n FROM events GROUP BY ALL",
