@@ -85,10 +85,10 @@ def is_underspecified(d: Spark, q: str, terms: str, ids: str, defs: str) -> str:
 def relevance(d: Spark, terms: str, defs: str, title: str, snip: str) -> str:
     tc, sc = coverage(d, terms, title), coverage(d, terms, snip)
     ids = d.filter(terms, "ri", f"({d.like('ri', '[0-9-]')} OR length(ri) <= 5)")
-    base = f"(CASE WHEN {tc} > 0 THEN 72e-2 * {tc} + 28e-2 * {sc} ELSE 5e-1 * {sc} END)"
-    bonus = f"12e-2 * {share(d, d.filter(ids, 'rm', f'contains(lower({title}), rm)'), ids, '0e0')}"
+    base = f"(CASE WHEN {tc} > 0 THEN 0.72e0 * {tc} + 0.28e0 * {sc} ELSE 0.5e0 * {sc} END)"
+    bonus = f"0.12e0 * {share(d, d.filter(ids, 'rm', f'contains(lower({title}), rm)'), ids, '0e0')}"
     subject = token_coverage(d, defs, f"concat({title}, ' ', {snip})")
-    floor = f"CASE WHEN {d.size(defs)} > 0 AND {subject} >= 6e-1 THEN 46e-2 + 28e-2 * {subject} ELSE 0e0 END"
+    floor = f"CASE WHEN {d.size(defs)} > 0 AND {subject} >= 0.6e0 THEN 0.46e0 + 0.28e0 * {subject} ELSE 0e0 END"
     return f"CASE WHEN {d.size(terms)} = 0 THEN 1e0 ELSE least(1e0, greatest(0e0, {base} + {bonus}, {floor})) END"
 
 
@@ -96,20 +96,20 @@ def defines(d: Spark, defs: str, bare: str, sentence: str) -> str:
     """Whether a sentence (with its bare words) defines the subject; true for queries that ask for no definition."""
     got = share(d, matched(d, defs, bare), defs)
     ids = d.filter(defs, "di", d.like("di", "[0-9-]"))
-    enough = f"CASE WHEN {d.size(ids)} > 0 THEN {d.size(d.minus(ids, bare))} = 0 AND {got} >= 4e-1 ELSE {got} >= 6e-1 END"
+    enough = f"CASE WHEN {d.size(ids)} > 0 THEN {d.size(d.minus(ids, bare))} = 0 AND {got} >= 0.4e0 ELSE {got} >= 0.6e0 END"
     return f"({d.size(defs)} = 0 OR (({enough}) AND {d.like(f'lower({sentence})', DEFINES)}))"
 
 
 def support_base(d: Spark, terms: str, ids: str, title_words: str, w: str) -> str:
     """Share of the query's terms in a sentence's words ``w`` (with their marks), in the title, and of its identifiers."""
-    return f"65e-2 * {share(d, matched(d, terms, w), terms)} + 2e-1 * {share(d, d.common(terms, title_words), terms)} + 25e-2 * {share(d, d.common(ids, w), ids, '0e0')}"
+    return f"0.65e0 * {share(d, matched(d, terms, w), terms)} + 0.2e0 * {share(d, d.common(terms, title_words), terms)} + 0.25e0 * {share(d, d.common(ids, w), ids, '0e0')}"
 
 
 def support(d: Spark, base: str, terms: str, defs: str, is_definition: str, judgment: str, w: str) -> str:
     """How far a sentence supports an answer, 0..1: at least 0.34 for definitions, less for judgments without tradeoffs."""
-    score = f"(CASE WHEN {d.size(defs)} > 0 AND {is_definition} THEN greatest({base}, 34e-2) ELSE {base} END)"
+    score = f"(CASE WHEN {d.size(defs)} > 0 AND {is_definition} THEN greatest({base}, 0.34e0) ELSE {base} END)"
     hits = d.size(d.common(w, d.words(TRADEOFF_TERMS)))
-    judged = f"CASE WHEN NOT {judgment} THEN {score} WHEN {hits} = 0 THEN 45e-2 * {score} ELSE {score} + least(2e-1, 5e-2 * {hits}) END"
+    judged = f"CASE WHEN NOT {judgment} THEN {score} WHEN {hits} = 0 THEN 0.45e0 * {score} ELSE {score} + least(0.2e0, 0.05e0 * {hits}) END"
     return f"CASE WHEN {d.size(terms)} = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, {judged})) END"
 
 
@@ -131,7 +131,7 @@ def jaccard(d: Spark, a: str, b: str) -> str:
 
 
 def comparable(d: Spark, a: str, b: str) -> str:
-    return f"({d.size(a)} > 0 AND {d.size(b)} > 0 AND ({d.size(d.common(a, b))} >= 2 OR {jaccard(d, a, b)} >= 18e-2))"
+    return f"({d.size(a)} > 0 AND {d.size(b)} > 0 AND ({d.size(d.common(a, b))} >= 2 OR {jaccard(d, a, b)} >= 0.18e0))"
 
 
 def authority(d: Spark, host: str, source: str) -> str:
@@ -141,9 +141,9 @@ def authority(d: Spark, host: str, source: str) -> str:
 
 
 def topic_authority(d: Spark, host: str, base: str, rel: str, terms: str) -> str:
-    topics = " ".join(f"WHEN {host} = '{h}' THEN {d.size(d.common(terms, d.words(t.split())))}" for h, t in TOPICS.items())
+    topics = " ".join(f"WHEN {host} = '{h}' THEN {d.size(d.common(terms, d.words(t)))}" for h, t in TOPICS.items())
     affinity = f"least(1e0, (CASE {topics} ELSE 0 END) / cast(greatest(1, least(2, {d.size(terms)})) as double))"
-    return f"greatest(0e0, least(1e0, {base} * (45e-2 + 55e-2 * greatest({rel}, {affinity}))))"
+    return f"greatest(0e0, least(1e0, {base} * (0.45e0 + 0.55e0 * greatest({rel}, {affinity}))))"
 
 
 def title_overlap(d: Spark, query_tokens: str, title_tokens: str) -> str:

@@ -56,9 +56,9 @@ def steps(d: Spark) -> dict[str, str]:
         "worded": f"""SELECT s.qid, s.doc_id, s.pos, s.sentence, f.title, f.terms, f.ids, f.defs, f.judgment, {e.words(d, 's.sentence')} AS w, {e.bare_words(d, 's.sentence')} AS bare, {e.words(d, 'f.title')} AS title_words
             FROM sentences s JOIN floored f ON s.qid = f.qid AND s.doc_id = f.doc_id WHERE length(s.sentence) >= 20""",
         "based": f"""SELECT *, {e.support_base(d, 'terms', 'ids', 'title_words', 'w')} AS base, {e.defines(d, 'defs', 'bare', 'sentence')} AS defines,
-            {e.token_coverage(d, 'defs', "concat(title, ' ', sentence)")} >= 75e-2 AND {d.like('lower(sentence)', DEFINES_WITH_TITLE)} AS defines_with_title FROM worded""",
+            {e.token_coverage(d, 'defs', "concat(title, ' ', sentence)")} >= 0.75e0 AND {d.like('lower(sentence)', DEFINES_WITH_TITLE)} AS defines_with_title FROM worded""",
         "supported": f"""SELECT qid, doc_id, pos, sentence, terms, defines, defines_with_title, judgment, length(sentence) AS chars, {e.support(d, 'base', 'terms', 'defs', 'defines', 'judgment', 'w')} AS support FROM based""",
-        "supporting": "SELECT * FROM supported WHERE chars >= 35 AND support >= CASE WHEN judgment THEN 34e-2 ELSE 30e-2 END",
+        "supporting": "SELECT * FROM supported WHERE chars >= 35 AND support >= CASE WHEN judgment THEN 0.34e0 ELSE 0.30e0 END",
         "backed": "SELECT * FROM relevant r WHERE EXISTS (SELECT 1 FROM supporting s WHERE s.qid = r.qid AND s.doc_id = r.doc_id)",
         "survivors": f"""SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS citation FROM backed r
             WHERE {d.size('defs')} = 0 OR EXISTS (SELECT 1 FROM supported s WHERE s.qid = r.qid AND s.doc_id = r.doc_id AND (s.defines OR s.defines_with_title))""",
@@ -87,16 +87,16 @@ def steps(d: Spark) -> dict[str, str]:
             coalesce(CASE WHEN r.hosts > 0 THEN r.hosts ELSE r.sources END, 0) AS independent, coalesce(g.agreement, 'insufficient') AS agreement, coalesce(g.conflict, false) AS conflict,
             coalesce(g.supporting_sources, 0) AS supporting_sources, coalesce(g.conflicting_sources, 0) AS conflicting_sources
             FROM asked a JOIN stage_counts s ON a.qid = s.qid LEFT JOIN result_counts r ON a.qid = r.qid LEFT JOIN covered v ON a.qid = v.qid LEFT JOIN agreed g ON a.qid = g.qid""",
-        "weighed": """SELECT *, CASE WHEN results = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, 38e-2 * coverage + 27e-2 * relevance + 2e-1 * authority + 1e-1 * least(independent, 3) / 3e0 + 5e-2 * least(results, 3) / 3e0)) END AS confidence,
-            NOT judgment AND results = 1 AND coverage >= 85e-2 AND relevance >= 8e-1 AND authority >= 9e-1 AS strong FROM facts""",
-        "decided": """SELECT *, CASE WHEN results = 0 OR underspecified OR coverage < 3e-1 OR relevance < 22e-2 OR confidence < 48e-2 OR (relevance < 35e-2 AND authority < 6e-1) THEN 'abstain'
-            WHEN conflict THEN 'answer_with_caveat' WHEN strong THEN 'answer' WHEN confidence < 76e-2 OR coverage < 7e-1 OR relevance < 45e-2 OR independent < 2 THEN 'answer_with_caveat' ELSE 'answer' END AS decision FROM weighed""",
+        "weighed": """SELECT *, CASE WHEN results = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, 0.38e0 * coverage + 0.27e0 * relevance + 0.2e0 * authority + 0.1e0 * least(independent, 3) / 3e0 + 0.05e0 * least(results, 3) / 3e0)) END AS confidence,
+            NOT judgment AND results = 1 AND coverage >= 0.85e0 AND relevance >= 0.8e0 AND authority >= 0.9e0 AS strong FROM facts""",
+        "decided": """SELECT *, CASE WHEN results = 0 OR underspecified OR coverage < 0.3e0 OR relevance < 0.22e0 OR confidence < 0.48e0 OR (relevance < 0.35e0 AND authority < 0.6e0) THEN 'abstain'
+            WHEN conflict THEN 'answer_with_caveat' WHEN strong THEN 'answer' WHEN confidence < 0.76e0 OR coverage < 0.7e0 OR relevance < 0.45e0 OR independent < 2 THEN 'answer_with_caveat' ELSE 'answer' END AS decision FROM weighed""",
     }
     reasons = d.compact([
-        f"CASE WHEN coverage < 5e-1 THEN '{LOW_COVERAGE}' END",
-        f"CASE WHEN relevance < 35e-2 THEN '{LOW_RELEVANCE}' END",
-        f"CASE WHEN authority < 6e-1 THEN '{LOW_AUTHORITY}' END",
-        f"CASE WHEN relevance < 35e-2 AND authority < 6e-1 THEN '{LOW_BOTH}' END",
+        f"CASE WHEN coverage < 0.5e0 THEN '{LOW_COVERAGE}' END",
+        f"CASE WHEN relevance < 0.35e0 THEN '{LOW_RELEVANCE}' END",
+        f"CASE WHEN authority < 0.6e0 THEN '{LOW_AUTHORITY}' END",
+        f"CASE WHEN relevance < 0.35e0 AND authority < 0.6e0 THEN '{LOW_BOTH}' END",
         f"CASE WHEN independent < 2 AND NOT strong THEN '{FEW_SOURCES}' END",
         f"CASE WHEN conflict THEN '{CONFLICT}' WHEN agreement = 'agreement' THEN '{CONSISTENT}' WHEN agreement = 'mixed' THEN '{DIFFERENT}' END",
         "CASE WHEN candidates > results THEN concat('Discarded ', cast(candidates - results AS string), ' weak or lower-ranked retrieval candidates.') END",
