@@ -16,7 +16,7 @@ from corpusloom.operators import answers
 from corpusloom.operators.fusion import assemble, candidates, hybrid, merge_shards, rrf
 from corpusloom.operators.index import TextIndex, indexed_text
 from corpusloom.operators.semantic import LatentSpace, nearest, normalised
-from corpusloom.runtime import materialise, table
+from corpusloom.runtime import kept, materialise, table
 
 K = 10
 
@@ -34,7 +34,14 @@ def shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str, persist: bool = False) -> TextIndex:
-    return TextIndex.build(corpus(spark, d), persist=persist)
+    """The index of the corpus; a written one serves all queries of the session."""
+    if not persist:
+        return TextIndex.build(corpus(spark, d), persist=False)
+    return kept(spark, ("index", d), lambda: TextIndex.build(corpus(spark, d)), lambda i: [i.rows, i.stats, i.df])
+
+
+def shard_index(spark: SparkSession, d: str) -> TextIndex:
+    return kept(spark, ("shards", d), lambda: TextIndex.build(shards(spark, d), scope=["shard_id"]), lambda i: [i.rows, i.stats, i.df])
 
 
 def bm25(spark: SparkSession, d: str, k: int = K) -> DataFrame:
@@ -42,10 +49,13 @@ def bm25(spark: SparkSession, d: str, k: int = K) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of the evidence gate: the best 20 lexical results with snippets."""
-    ranked = bm25(spark, d, candidates(5))
-    out = assemble(ranked, cases(spark, d), corpus(spark, d))
-    return materialise(out.select("qid", "query", "doc_id", "rank", "score", "title", "url", "source", "snippet"), "candidates")
+    """Candidates of the evidence gate: the best 20 lexical results with snippets, written once a session."""
+
+    def found() -> DataFrame:
+        out = assemble(bm25(spark, d, candidates(5)), cases(spark, d), corpus(spark, d))
+        return materialise(out.select("qid", "query", "doc_id", "rank", "score", "title", "url", "source", "snippet"), "candidates")
+
+    return kept(spark, ("candidates", d), found, lambda t: [t])
 
 
 def evidence_query(last: str, select: str):
@@ -84,7 +94,7 @@ def lsa(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shard_lists(spark: SparkSession, d: str) -> DataFrame:
-    return TextIndex.build(shards(spark, d), scope=["shard_id"], persist=True).search(cases(spark, d), candidates(K))
+    return shard_index(spark, d).search(cases(spark, d), candidates(K))
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,24 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusloom_path = path
+    return out
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[], object], tables: Callable[[object], list[DataFrame]]):
+    """What ``make`` has made for ``key`` in this application, as long as the ``tables`` it materialised are there."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full in _kept:
+        conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{t._corpusloom_path}/_SUCCESS") for t in tables(_kept[full])]
+        if all(p.getFileSystem(conf).exists(p) for p in paths):
+            return _kept[full]
+    _kept[full] = make()
+    return _kept[full]
 
 
 def small_side(df: DataFrame, rows: int, width: int) -> DataFrame:

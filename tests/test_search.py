@@ -169,3 +169,18 @@ def test_provider_and_its_outages(spark, index):
     assert SemanticSearch.fit(spark, index, docs, lengths, "auto", "k").search(q, 3).count() == 3
     for provider, key in ((broken, "k"), (no_queries, "k"), (lengths, None)):
         assert sorted(map(tuple, SemanticSearch.fit(spark, index, docs, provider, "auto", key).search(q, 3).collect())) == local
+
+
+def test_kept_tables_are_made_again_when_gone(spark):
+    from corpusloom.runtime import kept, materialise, remove
+
+    made = []
+
+    def make():
+        made.append(1)
+        return materialise(spark.range(4), "kept")
+
+    get = lambda: kept(spark, ("test",), make, lambda t: [t])
+    assert get().count() == get().count() == 4 and len(made) == 1
+    remove(spark, get()._corpusloom_path)
+    assert get().count() == 4 and len(made) == 2
