@@ -10,6 +10,9 @@ K-mers standing in more than ``common`` of all records (site furniture, found by
 record, at most mean length / ``common`` of them) are set aside before sketching, so that furniture doesn't make
 candidates of all pairs of a site; records with more than ``1 - WHOLE`` of furniture are sketched with all their
 k-mers too, of which ``PART`` sketches do for those with at most ``1 - MOSTLY``, whose pairs meet by the others as well.
+
+Candidates pass sizes and bitmaps of their k-mers before any text moves: what one bitmap has and the other lacks
+are k-mers that aren't common, so a pair is dropped only where the threshold is out of reach.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared_spans import _mix
-from corpusloom.runtime import Owner, materialise, small_side
+from corpusloom.runtime import Owner, materialise, sifted, small_side
 
 WORD = re.compile(r"[^\W_]+")
 CHUNK = 1_500_000  # characters handled at once
@@ -33,6 +36,7 @@ STOP_SIZE = 2_000_000  # set-aside k-mers are at most this many: those above tha
 CONTENT, MOSTLY, WHOLE = 0.4, 0.7, 0.92  # from the first share of k-mers left on, a record is sketched with these; below the last with all
 PART = 24  # sketches of all k-mers between MOSTLY and WHOLE
 CROWD = 64  # classes of a bucket from which it is split by a second sketch
+BITS = 16  # words of 64 bits of a record's bitmap
 _U = np.uint64
 _M = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -161,8 +165,16 @@ def _sketch(g: np.ndarray, doc: np.ndarray, docs: int, sketches: int, salt: int,
     return out
 
 
+def _bitmaps(g: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Bitmap of each text's k-mers, ``BITS`` words a row."""
+    bit = g >> _U(32)
+    out = np.zeros((docs, BITS), np.uint64)
+    np.bitwise_or.at(out.reshape(-1), doc * BITS + (bit % _U(64 * BITS) // _U(64)).astype(np.int64), _U(1) << bit % _U(64))
+    return out
+
+
 def sketch_records(df: DataFrame, keys: list[str], text: str, *, k: int, sketches: int, common: float, ordered: bool = False) -> DataFrame:
-    """``keys``, ``sig`` (class of records with one set, or one sequence, of k-mers), ``n`` (its size) and ``sketch`` of every record with a k-mer."""
+    """``keys``, ``sig`` (class of records with one set, or one sequence, of k-mers), ``n`` (its size), ``sketch`` and ``bits`` of every record with a k-mer."""
     stop = df.sparkSession.sparkContext.broadcast(common_shingles(df, text, k, common))
     d = df.select(*keys, F.col(text).alias("__text"))
 
@@ -202,12 +214,14 @@ def sketch_records(df: DataFrame, keys: list[str], text: str, *, k: int, sketche
                 size = (rows != 0).sum(1)
                 flat = rows[rows != 0].view(np.int64)
                 keep = np.flatnonzero(n)
+                bits = _bitmaps(g, doc, m)[keep].view(np.int64).reshape(-1)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BITS), pa.array(bits))
                 col = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
                 part = batch.slice(lo, m)
                 take = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in keys), pa.array(sig[keep]), pa.array(n[keep].astype(np.int32)), col.take(take)], [*keys, "sig", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in keys), pa.array(sig[keep]), pa.array(n[keep].astype(np.int32)), col.take(take), bits], [*keys, "sig", "n", "sketch", "bits"])
 
-    return d.mapInArrow(run, ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keys) + ", sig long, n int, sketch array<long>")
+    return d.mapInArrow(run, ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keys) + ", sig long, n int, sketch array<long>, bits array<long>")
 
 
 def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -267,8 +281,8 @@ def verified(pairs: DataFrame, k: int, threshold: float, band: int, ordered: boo
     return pairs.mapInArrow(run, "sig_a long, sig_b long, similarity double")
 
 
-def candidates(classes: DataFrame, agreeing: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes (sig, n, sketch) that agree in ``agreeing`` sketches, and whose sizes don't rule out the threshold.
+def candidates(classes: DataFrame, agreeing: int) -> DataFrame:
+    """Pairs (a, b) of classes (sig, sketch) that agree in ``agreeing`` sketches.
 
     Most sketches stand alone and are left out first.  A bucket of up to ``CROWD`` classes gives its pairs.
     A larger one is split by every other sketch of its members that doesn't stand alone, so that unrelated
@@ -290,9 +304,14 @@ def candidates(classes: DataFrame, agreeing: int, threshold: float) -> DataFrame
         shared = parts.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
         split = met(materialise(parts.join(shared, ["h", "g"]), "split"), ["h", "g"]).groupBy("h", "a", "b").agg((F.count("*") + 1).alias("agree"))
         agreed = agreed.unionByName(split.select("a", "b", "agree")).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    pairs, rows = agreed.where(F.col("agree") >= agreeing).select("a", "b"), classes.count()
-    sized = pairs.join(small_side(classes.select(F.col("sig").alias("a"), F.col("n").alias("na")), rows, 24), "a").join(small_side(classes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), rows, 24), "b")
-    return sized.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
+    return agreed.where(F.col("agree") >= agreeing).select("a", "b")
+
+
+def _reachable(threshold: float, ordered: bool) -> Column:
+    """Whether sizes and bitmaps of ``a`` and ``b`` leave room for the threshold, by the quotient that decides."""
+    n = {x: F.col(f"n_{x}") - sum((F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(BITS)), F.lit(0)) for x, y in ("ab", "ba")}
+    both = F.least(n["a"], n["b"]).cast("double")
+    return both / (F.greatest("n_a", "n_b") if ordered else F.col("n_a") + F.col("n_b") - both) >= threshold
 
 
 class NearDuplicates:
@@ -311,18 +330,32 @@ class NearDuplicates:
         sketched = materialise(sketch_records(df, keys, text, k=k, sketches=sketches, common=common, ordered=ordered), "sketches")
         self.members = sketched.select(*keys, "sig", "n")
         with Owner() as between:
-            pairs = self._pairs(sketched, agreeing, threshold)
-        ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        wanted = self.members.join(ends, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct(*keys)).alias("r")).select("sig", "r.*")
-        texts = df.select(*keys, F.col(text).alias("text")).join(wanted, keys).select("sig", "text")
+            pairs, wanted = self._pairs(sketched, keys, agreeing, threshold, ordered)
+            texts = sifted(df.select(*keys, F.col(text).alias("text")), wanted, keys, wanted.count()).select("sig", "text")
         both = pairs.select(F.col("a").alias("sig_a"), F.col("b").alias("sig_b")).join(texts.select(F.col("sig").alias("sig_a"), F.col("text").alias("text_a")), "sig_a").join(texts.select(F.col("sig").alias("sig_b"), F.col("text").alias("text_b")), "sig_b")
         self.links = materialise(verified(both, k, threshold, band, ordered), "links")
         between.free()
 
     @staticmethod
-    def _pairs(sketched: DataFrame, agreeing: int, threshold: float) -> DataFrame:
-        classes = materialise(sketched.groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-        return materialise(candidates(classes, agreeing, threshold), "pairs")
+    def _pairs(sketched: DataFrame, keys: list[str], agreeing: int, threshold: float, ordered: bool) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of classes whose texts must be compared, and ``sig`` and ``keys`` of a record of each of these."""
+        several = sketched.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct(*keys)).alias("first")).where("c > 1").select("sig", "first")
+        several = materialise(several, "several")
+        # One record stands for a class; most are alone in theirs, so no sketch is shuffled for it.
+        classes = sketched.join(small_side(several, several.count(), 100), "sig", "left").where(F.col("first").isNull() | F.struct(*keys).eqNullSafe(F.col("first")))
+        met = materialise(candidates(classes.select("sig", "sketch"), agreeing), "candidates")
+
+        def ends(pairs: DataFrame) -> DataFrame:
+            return pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+
+        some = materialise(ends(met), "ends")
+        many = some.count()
+        known = materialise(classes.join(small_side(some, many, 16), "sig", "left_semi").select("sig", *keys, "n", "bits"), "ends-known")
+        for x in "ab":
+            met = met.join(small_side(known.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), many, 32 + 8 * BITS), x)
+        pairs = materialise(met.where(_reachable(threshold, ordered)).select("a", "b"), "pairs")
+        some = ends(pairs)
+        return pairs, materialise(known.select("sig", *keys).join(some, "sig", "left_semi"), "wanted")
 
     def pairs(self, key: str) -> DataFrame:
         """Every pair of different values of ``key`` whose records are alike, the smaller first."""

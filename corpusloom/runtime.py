@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +111,30 @@ def small_side(df: DataFrame, rows: int, width: int) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+def sifted(df: DataFrame, wanted: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` joined with ``wanted``, a table of ``rows`` distinct ``keys``, without a shuffle of all of ``df``.
+
+    Where ``wanted`` is too large for a broadcast, a bitmap of its keys' hashes (16 bits a row, ``BROADCAST_BYTES`` at
+    most) keeps nearly all other rows out of the join.
+    """
+    if rows * 100 <= BROADCAST_BYTES:
+        return df.join(F.broadcast(wanted), keys)
+    size = min(1 << (16 * rows).bit_length(), 8 * BROADCAST_BYTES)
+    place = F.pmod(F.xxhash64(*keys), F.lit(size))
+    bits = np.zeros(size // 8 + 1, np.uint8)
+    for batch in wanted.select(place.alias("at")).distinct().toArrow().to_batches():
+        at = batch.column(0).to_numpy()
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def kept(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series(shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1 == 1)
+
+    return df.where(kept(place)).join(wanted, keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

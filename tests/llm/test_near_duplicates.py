@@ -76,6 +76,29 @@ def test_crowded_buckets_are_split(spark, monkeypatch):
     assert set(map(tuple, nd.pairs("id").collect())) == want
 
 
+def test_texts_move_only_for_pairs_in_reach(spark, monkeypatch):
+    from corpusloom import runtime
+    from corpusloom.llm import near_duplicates
+
+    r, rows = random.Random(6), []
+    shared = [f"s{i}" for i in range(140)]
+    for i in range(40):  # all pairs share 0.4 of their runs, so their sketches agree; pairs of a and b are alike
+        own = [f"o{i}x{j}" for j in range(100)]
+        rows += [("s", f"{i}a", " ".join(shared + own), 1, 1, "x"), ("s", f"{i}b", " ".join(shared + own[:-4]), 1, 1, "x")]
+    want, compared, plain = brute(rows, 3, 0.6), [], near_duplicates.verified
+
+    def verified(pairs, *args):
+        compared.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(near_duplicates, "verified", verified)
+    for room in (runtime.BROADCAST_BYTES, 64):  # in 64 bytes nothing is broadcast, and the bitmap of keys has 512 bits
+        monkeypatch.setattr(runtime, "BROADCAST_BYTES", room)
+        nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), ["shard", "id"], "body", k=3, threshold=0.6, common=1.0)
+        assert set(map(tuple, nd.pairs("id").collect())) == want == {(f"{i}a", f"{i}b") for i in range(40)}
+    assert max(compared) < 100  # of 3,160 pairs
+
+
 def test_edits(spark):
     r, rows = random.Random(8), []
     for i in range(15):
